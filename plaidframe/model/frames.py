@@ -7,139 +7,19 @@ the one checked against SQL; :mod:`objective` is the fused form for smaller ones
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import int_div, weighted_states
+from ..functions.columns import weighted_states
 from ..functions.numerics import log_sum_exp
-from ..genome import Genome
-from ..session import sized
-from .generate import ModelMatrix, pixel_terms
-
-MASS_BLOCK = 1024
-
-
-class Model:
-    """A point of the parameter space with its state table."""
-
-    def __init__(self, states: DataFrame, genome: Genome, cis_weights, trans_weights, alpha: float,
-                 beta: float, resolution: float | None = None):
-        self.states = states.where(F.col("probs").isNotNull()).select("bin_id", "probs")
-        self.genome = genome
-        self.cis, self.trans = np.asarray(cis_weights, float), np.asarray(trans_weights, float)
-        self.alpha, self.beta, self.resolution = float(alpha), float(beta), resolution
-
-    @property
-    def n_states(self) -> int:
-        return len(self.cis)
-
-    @property
-    def ln_resolution(self) -> float:
-        return float(np.log(self.resolution)) if self.resolution else 0.0
-
-    def terms(self, pixels: DataFrame) -> DataFrame:
-        return pixel_terms(pixels, self.states, self.genome, self.cis, self.trans, self.alpha, self.beta,
-                           self.resolution)
-
-    def matrix(self) -> ModelMatrix:
-        return ModelMatrix(self.states, self.genome, self.cis, self.trans, self.alpha, self.beta)
-
-
-def _state_sums(states: DataFrame, model: Model) -> DataFrame:
-    """Sum of the state vectors outside each chromosome, one row per chromosome."""
-    chrom = model.genome.chrom_of(F.col("bin_id")).alias("chrom_idx")
-    names = [f"s{k}" for k in range(model.n_states)]
-    sums = (states.groupBy(chrom)
-            .agg(*[F.sum(F.col("probs")[k]).alias(n) for k, n in enumerate(names)]))
-    totals = [sums.agg(F.sum(n)).scalar() for n in names]
-    return sums.select("chrom_idx", F.array(*[t - F.col(n) for t, n in zip(totals, names)]).alias("far"))
-
-
-def pair_mass(model: Model, size: int = MASS_BLOCK) -> DataFrame:
-    """Decay-weighted sums of the other bins' state vectors, per bin.
-
-    ``near``: over bins of the same chromosome with weight ``d**alpha``;
-    ``near_ln``: the same with an extra ``ln d``; ``far``: over all other chromosomes.
-    State vectors are packed into blocks, each block meets the blocks of its
-    chromosome through an equi-join and a pair of blocks is one FFT convolution.
-    """
-    genome, n_states, alpha, ln_res = model.genome, model.n_states, model.alpha, model.ln_resolution
-    b = F.col("bin_id")
-    offset = b - genome.start_of(b)
-    packed = (model.states
-              .groupBy(genome.chrom_of(b).alias("chrom_idx"), int_div(offset, size).alias("blk"))
-              .agg(F.collect_list(F.pmod(offset, F.lit(size))).alias("pos"),
-                   F.flatten(F.collect_list("probs")).alias("vec")))
-    counts = F.element_at(F.array(*[F.lit(-(-n // size)) for n in genome.lengths]), F.col("chrom_idx") + 1)
-    own = (packed.select("chrom_idx", F.col("blk").alias("to_blk"), F.col("pos").alias("to_pos"))
-           .withColumn("blk", F.explode(F.sequence(F.lit(0), counts - 1))))
-    tiles = own.join(packed, ["chrom_idx", "blk"])
-    starts = genome.starts
-
-    def convolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = 1 << (3 * size).bit_length()
-        for frame in frames:
-            for c, to, frm, to_pos, pos, vec in zip(frame["chrom_idx"], frame["to_blk"], frame["blk"],
-                                                    frame["to_pos"], frame["pos"], frame["vec"]):
-                block = np.zeros((size, n_states))
-                block[pos] = np.asarray(vec).reshape(-1, n_states)
-                lags = np.abs((int(to) - int(frm)) * size + np.arange(-(size - 1), size))
-                with np.errstate(divide="ignore"):
-                    ln_d = np.where(lags > 0, np.log(lags) + ln_res, 0.0)
-                kernel = np.where(lags > 0, np.exp(alpha * ln_d), 0.0)
-                spectrum = np.fft.rfft(block, width, axis=0)
-                out = [np.fft.irfft(np.fft.rfft(k, width)[:, None] * spectrum, width, axis=0)[size - 1:2 * size - 1]
-                       for k in (kernel, kernel * ln_d)]
-                first = starts[int(c)] + int(to) * size
-                yield pd.DataFrame({"bin_id": (first + np.asarray(to_pos)).astype(np.int32),
-                                    "near": list(out[0][to_pos]), "near_ln": list(out[1][to_pos])})
-
-    parts = tiles.mapInPandas(convolve, "bin_id int, near array<double>, near_ln array<double>")
-    sums = parts.groupBy("bin_id").agg(*[F.sum(F.col(c)[k]).alias(f"{c}_{k}")
-                                         for c in ("near", "near_ln") for k in range(n_states)])
-    near = sums.select("bin_id", *[F.array(*[F.col(f"{c}_{k}") for k in range(n_states)]).alias(c)
-                                   for c in ("near", "near_ln")])
-    outside = F.broadcast(_state_sums(model.states, model))  # one row per chromosome
-    return (model.states.withColumn("chrom_idx", genome.chrom_of(b))
-            .join(near, "bin_id").join(outside, "chrom_idx").drop("chrom_idx"))
-
-
-def _dot(a: Column, b: list[Column]) -> Column:
-    total = a[0] * b[0]
-    for k in range(1, len(b)):
-        total = total + a[k] * b[k]
-    return total
-
-
-def pair_mass_sums(mass: DataFrame, model: Model) -> DataFrame:
-    """One row: ``z`` and its derivatives by weights, ``alpha`` and ``beta``."""
-    decay = float(np.exp(model.beta))
-    p, near, near_ln, far = (F.col(c) for c in ("probs", "near", "near_ln", "far"))
-    cis = _dot(p, weighted_states(model.cis, near)) / 2.0
-    trans = _dot(p, weighted_states(model.trans, far)) * (decay / 2.0)
-    n = model.n_states
-    return mass.agg(
-        F.sum(cis + trans).alias("z"), F.sum(_dot(p, weighted_states(model.cis, near_ln)) / 2.0).alias("z_alpha"),
-        F.sum(trans).alias("z_beta"),
-        *[F.sum(p[s] * near[t] / 2.0).alias(f"z_cis_{s}_{t}") for s in range(n) for t in range(n)],
-        *[F.sum(p[s] * far[t] * (decay / 2.0)).alias(f"z_trans_{s}_{t}") for s in range(n) for t in range(n)])
-
-
-def pair_mass_gradient(mass: DataFrame, model: Model) -> DataFrame:
-    """``dZ/d lambda`` per bin as an array column ``z``."""
-    decay = float(np.exp(model.beta))
-    near = weighted_states(model.cis, F.col("near"))
-    far = weighted_states(model.trans, F.col("far"))
-    return mass.select("bin_id", F.array(*[a + F.lit(decay) * b for a, b in zip(near, far)]).alias("z"))
+from ..session import cut, sized
+from .generate import pixel_terms
+from .mass import Model, pair_mass, pair_mass_gradient, pair_mass_sums
 
 
 def _weighted_terms(model: Model, pixels: DataFrame, value: str) -> DataFrame:
     """Pixel terms with ``x`` (the count) and ``m`` (the mass they stand for)."""
-    terms = model.terms(pixels.withColumn("__x", F.col(value).cast("double")))
+    terms = pixel_terms(model, pixels.withColumn("__x", F.col(value).cast("double")))
     times = F.col("times") if "times" in pixels.columns else F.lit(1.0)
     return (terms.withColumn("x", F.col("__x"))
             .withColumn("m", F.exp("ln_p") * times)
@@ -196,7 +76,7 @@ def pixel_gradient(model: Model, pixels: DataFrame, value: str = "count") -> Dat
 
 def dense_log_likelihood(model: Model, pixels: DataFrame, value: str = "count") -> DataFrame:
     """``sum x ln p - (sum x) ln Z`` with Z over every usable pair."""
-    sums = model.terms(pixels.withColumn("__x", F.col(value).cast("double"))).agg(
+    sums = pixel_terms(model, pixels.withColumn("__x", F.col(value).cast("double"))).agg(
         F.sum(F.when(F.col("__x") != 0, F.col("__x") * F.col("ln_p"))).alias("a"), F.sum("__x").alias("x"))
     z = pair_mass_sums(pair_mass(model), model).select("z").scalar()
     return sums.select((F.col("a") - F.col("x") * F.ln(z)).alias("log_likelihood"), F.ln(z).alias("ln_z"))
@@ -211,7 +91,7 @@ def with_zeros(pixels: DataFrame, zeros: DataFrame, total: int, sampled: int, va
 
 def sparse_log_likelihood(model: Model, cells: DataFrame, value: str = "count") -> DataFrame:
     """Likelihood over stored pixels and weighted zeros; ``ln Z`` by stable summation."""
-    t = (model.terms(cells.withColumn("__x", F.col(value).cast("double")))
+    t = (pixel_terms(model, cells.withColumn("__x", F.col(value).cast("double")))
          .withColumn("ln_m", F.col("ln_p") + F.ln("times")))
     ln_z = log_sum_exp(t.select("ln_m"), "ln_m", out="ln_z").scalar()
     sums = t.agg(F.sum(F.when(F.col("__x") != 0, F.col("__x") * F.col("ln_p"))).alias("a"), F.sum("__x").alias("x"))
@@ -224,7 +104,7 @@ def state_gradient(model: Model, pixels: DataFrame, value: str = "count", dense:
     n = model.n_states
     sums = pixel_sums(model, pixels, value)
     if dense:
-        mass = pair_mass(model)
+        mass = cut(pair_mass(model))  # read for Z and for the gradient
         z = pair_mass_sums(mass, model).select("z").scalar()
         joined = pair_mass_gradient(mass, model).join(
             sized(parts.select("bin_id", "x"), model.genome.n_bins, 16 * n), "bin_id", "left")

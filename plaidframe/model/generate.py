@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,54 +12,53 @@ from ..genome import Genome
 from ..operators.pairs import bin_pairs
 from ..operators.reshape import select_fit
 from ..operators.select import attach_ends
+from .mass import Model, pair_mass, pair_mass_sums
 
 
-def with_model_terms(pairs: DataFrame, genome: Genome, cis_weights, trans_weights, alpha: float,
-                     beta: float, resolution: float | None = None) -> DataFrame:
+def with_model_terms(pairs: DataFrame, model: Model) -> DataFrame:
     """Add ``cis``, ``ln_d``, ``g`` (compartment term), ``ln_decay`` and ``ln_p`` to
     pairs that carry ``probs1`` and ``probs2``."""
     p1, p2 = F.col("probs1"), F.col("probs2")
-    return (pairs.withColumn("cis", genome.same_chrom(F.col("bin1_id"), F.col("bin2_id")))
-            .withColumn("ln_d", ln_distance(F.col("bin1_id"), F.col("bin2_id"), resolution))
-            .withColumn("g", F.when(F.col("cis"), bilinear(p1, cis_weights, p2))
-                        .otherwise(bilinear(p1, trans_weights, p2)))
-            .withColumn("ln_decay", ln_decay(F.col("cis"), F.col("ln_d"), alpha, beta))
+    return (pairs.withColumn("cis", model.genome.same_chrom(F.col("bin1_id"), F.col("bin2_id")))
+            .withColumn("ln_d", ln_distance(F.col("bin1_id"), F.col("bin2_id"), model.resolution))
+            .withColumn("g", F.when(F.col("cis"), bilinear(p1, model.cis, p2))
+                        .otherwise(bilinear(p1, model.trans, p2)))
+            .withColumn("ln_decay", ln_decay(F.col("cis"), F.col("ln_d"), model.alpha, model.beta))
             .withColumn("ln_p", F.ln("g") + F.col("ln_decay")))
 
 
-def pixel_terms(pixels: DataFrame, states: DataFrame, genome: Genome, cis_weights, trans_weights,
-                alpha: float, beta: float, resolution: float | None = None) -> DataFrame:
+def pixel_terms(model: Model, pixels: DataFrame) -> DataFrame:
     """Model terms of stored pixels; pixels on the diagonal or with an unusable bin drop out."""
-    usable = states.where(F.col("probs").isNotNull())
-    n_states = len(np.asarray(cis_weights))
-    pairs = attach_ends(pixels.where("bin1_id < bin2_id"), usable, ["probs"], genome.n_bins,
-                        row_bytes=32 + 8 * n_states)
-    return with_model_terms(pairs, genome, cis_weights, trans_weights, alpha, beta, resolution)
+    pairs = attach_ends(pixels.where("bin1_id < bin2_id"), model.states, ["probs"], model.genome.n_bins,
+                        row_bytes=32 + 8 * model.n_states)
+    return with_model_terms(pairs, model)
 
 
 class ModelMatrix:
-    """Model of a fit whose cells are computed when and where they are asked for."""
+    """Matrix of a model whose cells are computed when and where they are asked for."""
 
-    def __init__(self, states: DataFrame, genome: Genome, cis_weights, trans_weights, alpha: float,
-                 beta: float):
-        self.states, self.genome = states, genome
-        self.cis, self.trans = np.asarray(cis_weights, float), np.asarray(trans_weights, float)
-        self.alpha, self.beta = float(alpha), float(beta)
+    def __init__(self, model: Model):
+        self.model, self.genome = model, model.genome
 
     @property
     def shape(self) -> tuple[int, int]:
         return self.genome.n_bins, self.genome.n_bins
 
-    def pairs(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None,
-              resolution: float | None = None) -> DataFrame:
-        usable = self.states.where(F.col("probs").isNotNull()).select("bin_id", "probs")
-        pairs = bin_pairs(usable, self.genome.n_bins, window1=rows, window2=cols)
-        return with_model_terms(pairs, self.genome, self.cis, self.trans, self.alpha, self.beta, resolution)
+    def pairs(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+        pairs = bin_pairs(self.model.states, self.genome.n_bins, window1=rows, window2=cols)
+        return with_model_terms(pairs, self.model)
 
-    def normalised(self, resolution: float = 1.0) -> DataFrame:
-        """Every usable pair ``i < j`` with probabilities that sum to one."""
-        cells = self.pairs(resolution=resolution).select("bin1_id", "bin2_id", F.exp("ln_p").alias("value"))
-        return cells.withColumn("value", share(cells, "value"))
+    def values(self) -> DataFrame:
+        """Every usable pair ``i < j`` with its unnormalised value."""
+        return self.pairs().select("bin1_id", "bin2_id", F.exp("ln_p").alias("value"))
+
+    def normalised(self) -> DataFrame:
+        """Every usable pair ``i < j`` with probabilities that sum to one.
+
+        The total comes from the pair mass, so the pairs are formed once.
+        """
+        total = pair_mass_sums(pair_mass(self.model), self.model).select("z").scalar()
+        return self.values().withColumn("value", F.col("value") / total)
 
     def __getitem__(self, key) -> DataFrame:
         """Unnormalised cells of a 2-d slice, each unordered pair once (``bin1 < bin2``)."""
@@ -98,8 +96,9 @@ class ModelMatrix:
         wanted = [numbers] if isinstance(numbers, int) else list(numbers)
         if any(not 1 <= n <= len(self.genome.names) for n in wanted):
             raise IndexError("chromosome number out of range")
-        states, genome = select_fit(self.states, self.genome, [n - 1 for n in wanted])
-        return ModelMatrix(states, genome, self.cis, self.trans, self.alpha, self.beta)
+        m = self.model
+        states, genome = select_fit(m.states, self.genome, [n - 1 for n in wanted])
+        return ModelMatrix(Model(states, genome, m.cis, m.trans, m.alpha, m.beta, m.resolution))
 
 
 def compartment_matrix(states: DataFrame, genome: Genome, cis_weights) -> DataFrame:

@@ -26,6 +26,15 @@ def densified(cells: DataFrame, pairs: DataFrame, value: str = "value") -> DataF
             .withColumn("value", F.coalesce("value", F.lit(0.0))))
 
 
+def beside(dense: DataFrame, sparse: DataFrame, value: str = "value", count: str = "count") -> DataFrame:
+    """Cells ``(bin1_id, bin2_id, a, b)`` of a dense matrix ``b`` with the sparse matrix
+    ``a`` next to it, zero where nothing is stored (one join)."""
+    stored = sparse.select("bin1_id", "bin2_id", F.col(count).cast("double").alias("a"))
+    return (dense.select("bin1_id", "bin2_id", F.col(value).alias("b"))
+            .join(stored, ["bin1_id", "bin2_id"], "left")
+            .select("bin1_id", "bin2_id", F.coalesce("a", F.lit(0.0)).alias("a"), "b"))
+
+
 def pearson(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pearson correlation of columns ``a`` and ``b``, in one pass."""
     varies = (F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))

@@ -13,9 +13,11 @@ from ..functions.numerics import exact_sum, log_sum_exp
 from ..genome import Genome
 from ..model import frames, generate, regularise
 from ..model.fit import fit_decay, fit_dense, fit_sparse
+from ..model.mass import Model
 from ..model.params import state_order
 from ..operators import balance, clean, compare, distance, pairs, reshape, sampling, select, zeros
 from ..sources.registry import best_fit, top_fits
+from ..session import cut
 from . import accuracy, mixing, pca
 from .contact_data import ALPHA, BETA, CIS_WEIGHTS, N_STATES, RESOLUTION, TRANS_WEIGHTS, ContactData
 
@@ -68,12 +70,12 @@ def oriented_cells(d: ContactData) -> DataFrame:
                                                  F.col("count")).alias("value")))
 
 
-def model(d: ContactData, resolution: float | None = None) -> frames.Model:
-    return frames.Model(d.states(), d.genome, CIS_WEIGHTS, TRANS_WEIGHTS, ALPHA, BETA, resolution)
+def model(d: ContactData, resolution: float | None = None) -> Model:
+    return Model(cut(d.states()), d.genome, CIS_WEIGHTS, TRANS_WEIGHTS, ALPHA, BETA, resolution)
 
 
-def matrix(d: ContactData) -> generate.ModelMatrix:
-    return model(d).matrix()
+def matrix(d: ContactData, resolution: float | None = RESOLUTION) -> generate.ModelMatrix:
+    return generate.ModelMatrix(model(d, resolution))
 
 
 def rounded_states(states: DataFrame, digits: int = 9) -> DataFrame:
@@ -349,31 +351,31 @@ def balance_by_coefficients(d):
 
 @query
 def model_terms(d):
-    t = model(d, RESOLUTION).terms(d.pixels())
+    t = generate.pixel_terms(model(d, RESOLUTION), d.pixels())
     return t.select("bin1_id", "bin2_id", "cis", r("g", 9).alias("compartment"), r("ln_decay", 9).alias("ln_decay"),
                     r("ln_p", 9).alias("ln_p"))
 
 
 @query
 def generate_matrix(d):
-    return matrix(d).normalised(RESOLUTION).select("bin1_id", "bin2_id", r("value", 13).alias("value"))
+    return matrix(d).normalised().select("bin1_id", "bin2_id", r("value", 13).alias("value"))
 
 
 @query
 def generate_slice(d):
     n = d.n_bins
-    return (matrix(d)[n // 5: n // 2, n // 3: n]
+    return (matrix(d, None)[n // 5: n // 2, n // 3: n]
             .select("bin1_id", "bin2_id", r("value", 12).alias("value")))
 
 
 @query
 def generate_chromosome(d):
-    return matrix(d).chromosome(2).select("bin1_id", "bin2_id", r("value", 12).alias("value"))
+    return matrix(d, None).chromosome(2).select("bin1_id", "bin2_id", r("value", 12).alias("value"))
 
 
 @query
 def generate_selected_chromosomes(d):
-    return (matrix(d).select([3, 1])[:, :]
+    return (matrix(d, None).select([3, 1])[:, :]
             .select("bin1_id", "bin2_id", r("value", 12).alias("value")))
 
 
@@ -391,7 +393,7 @@ def decay_only_model(d):
 
 @query
 def logsumexp_by_area(d):
-    t = model(d).terms(d.pixels())
+    t = generate.pixel_terms(model(d), d.pixels())
     return log_sum_exp(t, "ln_p", ["cis"]).select("cis", r("lse", 9).alias("lse"))
 
 
@@ -455,7 +457,7 @@ def dense_gradient_shared(d):
 
 def weighted_cells(d: ContactData) -> DataFrame:
     """Stored pixels plus the keyed sample of zeros with their multiplicity."""
-    sample = zero_sample_keyed(d)
+    sample = cut(zero_sample_keyed(d))
     total = zeros.total_zeros(d.pixels(), d.bins(), d.genome)
     return frames.with_zeros(d.pixels(), sample, total, min(ZERO_SAMPLE, total))
 
@@ -499,14 +501,13 @@ def downsample_keyed(d):
 @query
 def resample_inverse_cdf(d):
     total = int(d.pixels().agg(F.sum("count")).first()[0])
-    cells = matrix(d).normalised(RESOLUTION)
-    return sampling.multinomial_keyed(cells, total, d.n_bins, seed=THIN_SEED)
+    return sampling.multinomial_keyed(matrix(d).values(), total, d.n_bins, seed=THIN_SEED)
 
 
 @query
 def resample_multinomial(d):
     total = int(d.pixels().agg(F.sum("count")).first()[0])
-    return sampling.multinomial(matrix(d).normalised(RESOLUTION), total, seed=THIN_SEED)
+    return sampling.multinomial(matrix(d).values(), total, seed=THIN_SEED)
 
 
 @query
@@ -519,8 +520,7 @@ def read_totals_ratio(d):
 
 def against_model(d: ContactData) -> DataFrame:
     """Counts ``a`` and model values ``b`` of every usable pair, zeros included."""
-    fitted = matrix(d).normalised(RESOLUTION)
-    return compare.paired(compare.densified(d.pixels(), fitted, "count"), fitted, "value", "value")
+    return compare.beside(matrix(d).normalised(), d.pixels())
 
 
 @query
@@ -569,19 +569,17 @@ def lambda_diff_min_permutation(d):
 
 @query
 def parametric_normalisation(d):
-    fitted = matrix(d).normalised(RESOLUTION)
+    fitted = matrix(d).normalised()
     base = distance.distance_normalised_dense(fitted)
-    sample = compare.densified(d.pixels(), fitted, "count")
-    out = compare.parametric_normalised(sample.where("value > 0"), base)
+    sample = d.pixels().select("bin1_id", "bin2_id", F.col("count").cast("double").alias("value"))
+    out = compare.parametric_normalised(sample, base)
     return out.select("bin1_id", "bin2_id", r("parametric", 6).alias("parametric"))
 
 
 @query
 def accuracy_table(d):
     """All matrix metrics per chromosome-independent case, as a long table."""
-    fitted = matrix(d).normalised(RESOLUTION)
-    data = compare.densified(d.pixels(), fitted, "count")
-    table = accuracy.long_table(accuracy.compare_matrices(data, fitted), case="data")
+    table = accuracy.long_table(accuracy.compare_matrices(against_model(d)), case="data")
     return table.select("case", "metric", r("value", 7).alias("value"))
 
 
@@ -607,10 +605,10 @@ def pca_reconstruction(d):
 # --- mixing experiment -----------------------------------------------------------
 
 def groups(d: ContactData) -> dict[str, DataFrame]:
-    p = F.col("probs")
-    return {"s1": mixing.row_group(d.states(), p[0] > 0.5),
-            "s2": mixing.row_group(d.states(), (p[1] > 0.5) & (p[0] < 0.4)),
-            "mixed": mixing.row_group(d.states(), (p[2] > 0.4) & (p[0] < 0.5))}
+    p, states = F.col("probs"), cut(d.states())
+    return {"s1": mixing.row_group(states, p[0] > 0.5),
+            "s2": mixing.row_group(states, (p[1] > 0.5) & (p[0] < 0.4)),
+            "mixed": mixing.row_group(states, (p[2] > 0.4) & (p[0] < 0.5))}
 
 
 def profiles(d: ContactData, cells: DataFrame) -> DataFrame:
@@ -647,8 +645,8 @@ def profile_log_likelihood(d):
 
 @query
 def mixed_log_ratio(d):
-    vectors = mixing.cell_vectors(d.cell_pixels(), groups(d)["mixed"], usable(d))
-    cells = balanced_cells(d)
+    vectors = cut(mixing.cell_vectors(d.cell_pixels(), groups(d)["mixed"], usable(d)))
+    cells = cut(balanced_cells(d))
     decay = distance.decay_only(distance.distance_normalised(cells, usable(d), d.n_bins))
     ratios = [mixing.log_ratio(mixing.profile_scores(vectors, profiles(d, frame)), ["s1", "s2"], "mixed")
               for frame in (cells, decay.select("bin1_id", "bin2_id", F.col("decay").alias("value")))]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import int_div
 from ..operators.sampling import simulate_mixture
 from ..operators.select import mirrored
-from ..session import may_broadcast
+from ..session import cut, may_broadcast
 
 EPSILON = 1e-10
 MARGIN = 4
@@ -125,6 +125,7 @@ def mixed_log_ratio(with_signal: DataFrame, decay_only: DataFrame) -> DataFrame:
 def profile_arrays(profiles: DataFrame, names: list[str]) -> tuple[list[int], np.ndarray]:
     """Profiles as rows of an array for the simulator, after a size check (a profile
     has one entry per column of the matrix)."""
+    profiles = cut(profiles)
     entries = profiles.count()
     if not may_broadcast(profiles.sparkSession, entries, 16):
         raise ValueError("read profiles exceed the broadcast limit")
@@ -134,7 +135,7 @@ def profile_arrays(profiles: DataFrame, names: list[str]) -> tuple[list[int], np
 
 def simulate(reads: DataFrame, profiles: DataFrame, names: list[str], probs, seed: int = 1) -> DataFrame:
     """Simulated read vectors for cells with the observed numbers of reads."""
-    columns, table = profile_arrays(profiles, names)
+    columns, table = profile_arrays(profiles.where(F.col("profile").isin(*names)), names)
     drawn = simulate_mixture(reads, table / table.sum(axis=1, keepdims=True), probs, seed)
     lookup = profiles.sparkSession.createDataFrame(list(enumerate(columns)), "col int, __bin int")
     return drawn.join(F.broadcast(lookup), "col").drop("col").withColumnRenamed("__bin", "col")  # size checked above
@@ -143,6 +144,7 @@ def simulate(reads: DataFrame, profiles: DataFrame, names: list[str], probs, see
 def experiment(vectors: DataFrame, reads: DataFrame, profiles: DataFrame, populations: list[str], mixed: str,
                seed: int = 1) -> DataFrame:
     """Log ratios of simulated population mixes, simulated mixed cells and the data."""
+    vectors, reads, profiles = cut(vectors), cut(reads), cut(profiles)
     parts = {
         "population": simulate(reads, profiles, populations, 0.5, seed),
         "cell": simulate(reads, profiles, [mixed], 1.0, seed),
