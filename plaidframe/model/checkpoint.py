@@ -38,12 +38,18 @@ class OptimiserCheckpoint:
         self.last_saved = now
         return True
 
+    def _location(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, path = self._location()
         return fs.exists(path)
 
+    def remove(self) -> None:
+        fs, path = self._location()
+        fs.delete(path, True)
+
     def restore(self) -> State | None:
         if not self.exists():
             return None

@@ -401,11 +401,15 @@ kept as (select * from reads order by md5(concat_ws(':', '3', bin1_id, bin2_id,
          limit (select cast(floor(count(*) * 0.3::double) as bigint) from reads))
 select bin1_id, bin2_id, count(*) as count from kept group by 1, 2""")
 add("resample_inverse_cdf", ALL_PAIRS + """,
-cum as (select bin1_id, bin2_id, coalesce(sum(b) over (order by bin1_id, bin2_id rows between unbounded preceding
+total as materialized (select (select sum(b) from model) as mass, (select cast(sum(count) as bigint) from pixels) as n_reads),
+cum as materialized (select bin1_id, bin2_id, coalesce(sum(b) over (order by bin1_id, bin2_id rows between unbounded preceding
         and 1 preceding), 0.0) as low from model),
-draws as (select cast('0x' || substr(md5('3:' || id), 1, 13) as ubigint)::double / 4503599627370496.0
-                 * (select sum(b) from model) as u from range(cast((select sum(count) from pixels) as bigint)) t(id))
-select bin1_id, bin2_id, count(*) as count from draws asof join cum on draws.u >= cum.low group by 1, 2""")
+draws as materialized (select cast('0x' || substr(md5('3:' || id), 1, 13) as ubigint)::double / 4503599627370496.0
+                 * mass as u from total, (select unnest(range(n_reads)) as id from total)),
+merged as (select low as pos, 0 as kind, bin1_id, bin2_id from cum union all select u, 1, null, null from draws),
+placed as (select kind, last_value(bin1_id ignore nulls) over w as bin1_id, last_value(bin2_id ignore nulls) over w as bin2_id
+           from merged window w as (order by pos, kind rows between unbounded preceding and current row))
+select bin1_id, bin2_id, count(*) as count from placed where kind = 1 group by 1, 2""")
 add("read_totals_ratio", f"select cast(sum(count) as bigint) as total, {rnd('sum(count) * 0.3::double', 6)} as reads "
     "from ends where bin1_id < bin2_id and w1 is not null and w2 is not null")
 
