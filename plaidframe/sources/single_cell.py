@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELL_SCHEMA = "bin1_id int, bin2_id int, count double, balanced double, chr1_name string, chr2_name string"
@@ -36,7 +36,5 @@ def of_line(cells: DataFrame, labels: DataFrame, line: str | None = None) -> Dat
 
 
 def numbered(cells: DataFrame) -> DataFrame:
-    """Add ``cell_id``: position of the cell in file-name order (one row per file)."""
-    names = cells.select("cell").distinct()
-    ids = names.select("cell", (F.row_number().over(Window.orderBy("cell")) - 1).alias("cell_id"))
-    return cells.join(ids, "cell")
+    """Add ``cell_id``, a non-negative number made from the cell's name."""
+    return cells.withColumn("cell_id", F.shiftrightunsigned(F.xxhash64("cell"), 1))
