@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..genome import Genome
 from ..operators.zeros import sample_zeros, total_zeros
+from ..session import may_broadcast
 from .checkpoint import OptimiserCheckpoint
 from .minimise import Result, minimise
 from .objective import PixelObjective
@@ -51,7 +52,9 @@ class Fit:
 
 
 def usable_mask(bins: DataFrame, n_bins: int, weight: str = "weight") -> np.ndarray:
-    """Usability of every bin as a flag vector (one byte per bin)."""
+    """Usability of every bin as a flag vector, for state tables within the broadcast limit."""
+    if not may_broadcast(bins.sparkSession, n_bins, 16):
+        raise ValueError("state vectors exceed the broadcast limit, use fit_distributed")
     ids = bins.where(F.col(weight).isNotNull()).select("bin_id").toArrow().column(0).to_numpy()
     mask = np.zeros(n_bins, dtype=bool)
     mask[ids] = True

@@ -74,14 +74,25 @@ def pixel_gradient(model: Model, pixels: DataFrame, value: str = "count") -> Dat
                        F.array(*[F.col(f"m{k}") for k in range(n)]).alias("m"))
 
 
-def dense_log_likelihood(model: Model, pixels: DataFrame, value: str = "count") -> DataFrame:
-    """``sum x ln p - (sum x) ln Z`` with Z over every usable pair."""
-    sums = pixel_terms(model, pixels.withColumn("__x", F.col(value).cast("double"))).agg(
+def dense_log_likelihood(model: Model, pixels: DataFrame, value: str = "count", scale: float = 1.0) -> DataFrame:
+    """``sum x ln p - (sum x) ln Z`` with Z over every usable pair; ``scale`` multiplies
+    the counts.  All usable pairs must have a value (zero cells are not stored)."""
+    scaled = pixels.withColumn("__x", F.col(value).cast("double") * F.lit(float(scale)))
+    sums = pixel_terms(model, scaled).agg(
         F.sum(F.when(F.col("__x") != 0, F.col("__x") * F.col("ln_p"))).alias("a"), F.sum("__x").alias("x"))
     z = pair_mass_sums(pair_mass(model), model).select("z").scalar()
     return sums.select((F.col("a") - F.col("x") * F.ln(z)).alias("log_likelihood"), F.ln(z).alias("ln_z"))
 
 
+def residuals(model: Model, pixels: DataFrame, value: str = "count") -> DataFrame:
+    """Derivative of the dense likelihood by ``ln p`` of every stored pixel: its count
+    minus the count the model expects, ``x - X p / Z``."""
+    terms = pixel_terms(model, pixels.withColumn("__x", F.col(value).cast("double")))
+    total = terms.agg(F.sum("__x")).scalar()
+    z = pair_mass_sums(pair_mass(model), model).select("z").scalar()
+    return terms.select("bin1_id", "bin2_id", (F.col("__x") - total / z * F.exp("ln_p")).alias("residual"))
+
+
 def with_zeros(pixels: DataFrame, zeros: DataFrame, total: int, sampled: int, value: str = "count") -> DataFrame:
     """Stored pixels and sampled zero cells, each zero standing for ``total/sampled``."""
     stored = pixels.select("bin1_id", "bin2_id", F.col(value).cast("double").alias(value), F.lit(1.0).alias("times"))

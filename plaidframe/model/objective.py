@@ -149,7 +149,7 @@ class PixelObjective:
                  resolution: float | None = None, value: str = "count", block: int = STATE_BLOCK):
         spark = pixels.sparkSession
         if not may_broadcast(spark, genome.n_bins, 16 * n_states):
-            raise ValueError("state vectors exceed the broadcast limit, use DistributedObjective")
+            raise ValueError("state vectors exceed the broadcast limit, use fit_distributed")
         self.spark, self.genome, self.n_states, self.dense = spark, genome, n_states, dense
         self.usable = np.asarray(usable, dtype=bool)
         self.chrom = np.repeat(np.arange(len(genome.lengths), dtype=np.int32), genome.lengths)

@@ -73,6 +73,12 @@ def running_total(df: DataFrame, amount: Column, order: str, out: str, keys: Seq
             .drop("__block", "__amount", "__before"))
 
 
+def compact_index(bins: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Consecutive index of the usable bins, ``(bin_id, index)``."""
+    used = bins.where(F.col("weight").isNotNull()).select("bin_id")
+    return running_total(used, F.lit(1), "bin_id", "index", size=size)
+
+
 def average_rank(df: DataFrame, column: str, out: str, ranges: int = 64) -> DataFrame:
     """Rank with ties sharing their mean rank.
 

@@ -15,7 +15,7 @@ from ..model import frames, generate, regularise
 from ..model.fit import fit_decay, fit_dense, fit_sparse
 from ..model.mass import Model
 from ..model.params import state_order
-from ..operators import balance, clean, compare, distance, pairs, reshape, sampling, select, zeros
+from ..operators import balance, clean, compare, distance, ordered, pairs, reshape, sampling, select, zeros
 from ..sources.registry import best_fit, top_fits
 from ..session import cut
 from . import accuracy, mixing, pca
@@ -491,6 +491,17 @@ def difference_gram(d):
     return regularise.gram(d.states(), N_STATES).select("s1", "s2", r("g", 7).alias("g"))
 
 
+@query
+def likelihood_residuals(d):
+    out = frames.residuals(model(d, RESOLUTION), d.pixels())
+    return out.select("bin1_id", "bin2_id", r("residual", 8).alias("residual"))
+
+
+@query
+def compact_index(d):
+    return ordered.compact_index(d.bins())
+
+
 # --- sampling --------------------------------------------------------------------
 
 @query
@@ -583,6 +594,24 @@ def accuracy_table(d):
     return table.select("case", "metric", r("value", 7).alias("value"))
 
 
+@query
+def accuracy_per_chromosome(d):
+    cells = against_model(d)
+    cis = cells.where(d.genome.same_chrom(F.col("bin1_id"), F.col("bin2_id")))
+    keyed = cis.withColumn("chrom_idx", d.genome.chrom_of(F.col("bin1_id")))
+    return compare.pearson(keyed, ("chrom_idx",)).select("chrom_idx", r("pearson", 9).alias("pearson"))
+
+
+@query
+def accuracy_of_thinned_data(d):
+    """Agreement of the model with a thinned sample of the reads."""
+    thin = sampling.downsampled(d.pixels(), THIN_TO, THIN_SEED)
+    cells = cut(compare.beside(matrix(d).normalised(), thin))
+    metrics = {"pearson": compare.pearson(cells), "lr": compare.likelihood_ratio(cells)}
+    table = accuracy.long_table(metrics, rate=THIN_TO)
+    return table.select("rate", "metric", r("value", 8).alias("value"))
+
+
 @query
 def row_correlation(d):
     normalised = distance.distance_normalised(balanced_cells(d), usable(d), d.n_bins)

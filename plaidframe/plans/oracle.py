@@ -395,10 +395,12 @@ select {rnd('(select count(*) from states) * (select sum(abs(d0) + abs(d1) + abs
 add("difference_gram", STEPS + " union all ".join(
     f"select {s} as s1, {t} as s2, {rnd(f'sum(d{s} * d{t})', 7)} as g from steps" for s in range(3) for t in range(3)))
 
-add("downsample_keyed", """,
+THINNED = """,
 reads as (select bin1_id, bin2_id, unnest(range(count)) as read from pixels where bin1_id < bin2_id),
 kept as (select * from reads order by md5(concat_ws(':', '3', bin1_id, bin2_id, read))
          limit (select cast(floor(count(*) * 0.3::double) as bigint) from reads))
+"""
+add("downsample_keyed", THINNED + """
 select bin1_id, bin2_id, count(*) as count from kept group by 1, 2""")
 add("resample_inverse_cdf", ALL_PAIRS + """,
 total as materialized (select (select sum(b) from model) as mass, (select cast(sum(count) as bigint) from pixels) as n_reads),
@@ -425,7 +427,6 @@ add("fit_likelihood", ALL_PAIRS + f"select {rnd('(ab - ln(tb) * ua) / ta', 9)} a
 RATIO = ALL_PAIRS + f"select {rnd('exp((ab_pos - ln(tb) * ua) / ta - (aa - ln(ta) * ua) / ta)', 9)} as likelihood_ratio from {LIKELIHOOD_SUMS}"
 add("likelihood_ratio", RATIO)
 add("likelihood_ratio_single_cell", RATIO)
-_pairs = [f"abs(p{s} - q{t})" for s in range(3) for t in range(3)]
 add("lambda_diff_min_permutation", ", q as (select p0, p1, p2, p2 as q0, (p0 + p1) * 0.75 as q1, (p0 + p1) * 0.25 as q2 from states) "
     "select " + rnd("least(" + ", ".join(
         "(" + " + ".join(f"avg(abs(p{s} - q{t}))" for s, t in enumerate(perm)) + ") / 3"
@@ -447,6 +448,16 @@ union all select 'data', 'normalised_pearson', {rnd('corr(a, b)', 7)} from nrm
 union all select 'data', 'normalised_spearman', {rnd('corr(ra, rb)', 7)} from nrk
 union all select 'data', 'likelihood', {rnd('(ab - ln(tb) * ua) / ta', 7)} from {LIKELIHOOD_SUMS}
 union all select 'data', 'lr', {rnd('exp((ab_pos - ln(tb) * ua) / ta - (aa - ln(ta) * ua) / ta)', 7)} from {LIKELIHOOD_SUMS}""")
+add("accuracy_per_chromosome", ALL_PAIRS + f"select c1 as chrom_idx, {rnd('corr(a, b)', 9)} as pearson from model where c1 = c2 group by 1")
+add("accuracy_of_thinned_data", ALL_PAIRS + THINNED + f""",
+thin as (select bin1_id, bin2_id, count(*) as count from kept group by 1, 2),
+side as (select m.bin1_id, m.bin2_id, coalesce(t.count, 0)::double as a, m.b from model m left join thin t using (bin1_id, bin2_id))
+select 0.3::double as rate, 'pearson' as metric, {rnd('corr(a, b)', 8)} as value from side
+union all select 0.3::double, 'lr', {rnd('exp((ab_pos - ln(tb) * ua) / ta - (aa - ln(ta) * ua) / ta)', 8)}
+from {LIKELIHOOD_SUMS.replace('from model', 'from side')}""")
+add("likelihood_residuals", ALL_PAIRS + f"select bin1_id, bin2_id, {rnd('x - (select sum(x) / sum(mr) from allp) * mr', 8)} as residual "
+    "from allp where x > 0")
+add("compact_index", "select bin_id, row_number() over (order by bin_id) - 1 as index from good")
 add("row_correlation", NORMALISED + f""",
 fullm as ({MIRROR.format(v='normalised', t='normed')}),
 mom as (select bin1_id as bin_id, sum(normalised) as s, sum(normalised * normalised) as q from fullm group by 1),

@@ -7,6 +7,8 @@ several files instead of making one huge one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,14 @@ class ContactStore:
         return chosen, kept, genome.subset(positions)
 
 
+def read_through(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; built and written there first if it does not exist."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location):
+        build().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def detect_kind(path: str) -> str:
     """Source type from the suffix of a file or folder name."""
     for suffix, kind in ((".mcool", "mcool"), (".cool", "mcool"), (".npy", "numpy"), (".parquet", "store"),

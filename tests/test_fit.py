@@ -157,3 +157,30 @@ def test_stored_fits(spark, tmp_path):
     for bad in ({k: v for k, v in params.items() if k != "trans_dd"}, {**params, "extra": 1}):
         with pytest.raises(ValueError):
             fits.checked(bad)
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_distributed_fit_follows_the_broadcast_one(spark, truth, dense):
+    from plaidframe.model.large import fit_distributed
+    _, counts = truth
+    some = {p: round(x) for p, x in counts.items()}
+    stored = pixels_frame(spark, [(i, j, x) for (i, j), x in some.items() if x])
+    bins = bins_frame(spark, GENOME, [k != 5 for k in range(20)])
+    start = np.random.default_rng(6).uniform(0.3, 0.7, (20, 2))
+    start /= start.sum(axis=1, keepdims=True)
+    options = {"maxiter": 3, "memory": 5}
+    kwargs = {}
+    if not dense:
+        empty = [(i, j) for (i, j), x in some.items() if not x and 5 not in (i, j)]
+        kwargs = {"zeros": spark.createDataFrame(empty, "bin1_id int, bin2_id int"), "zero_total": 2 * len(empty)}
+    init = {"cis_weights": CIS[2], "trans_weights": TRANS[2]}
+    fit = fit_dense if dense else fit_sparse
+    small = fit(stored, bins, GENOME, 2, init={**init, "state_probabilities": start}, options=options, **kwargs)
+    large = fit_distributed(stored, bins, GENOME, 2, dense=dense, init=init, options=options,
+                            start=states_frame(spark, start, [k != 5 for k in range(20)]), **kwargs)
+    assert large.iterations == small.result.nit == 3
+    assert large.objective == pytest.approx(small.objective, rel=1e-9)
+    got = {r["bin_id"]: r["probs"] for r in large.states.collect()}
+    assert 5 not in got
+    for b, p in got.items():
+        np.testing.assert_allclose(p, small.state_probabilities[b], atol=1e-7)
