@@ -126,10 +126,10 @@ def fit_sparse(pixels: DataFrame, bins: DataFrame, genome: Genome, n_states: int
                debug: Callable | None = None, value: str = "count") -> Fit:
     """Fit with Z over stored pixels and (sampled) zero cells."""
     usable = usable_mask(bins, genome.n_bins)
-    if n_zeros is not None:
-        zeros = sample_zeros(pixels, bins, genome, n_zeros, zero_seed, area)
-    if zeros is not None and zero_total is None:
+    if zero_total is None and (n_zeros is not None or zeros is not None):
         zero_total = total_zeros(pixels, bins, genome, area)
+    if n_zeros is not None:
+        zeros = sample_zeros(pixels, bins, genome, n_zeros, zero_seed, area, total=zero_total)
     layout = _layout(usable, n_states, cis_shape, trans_shape, states, seed, init, fixed)
     objective = PixelObjective(pixels, usable, genome, n_states, zeros=zeros, total_zeros=zero_total or 0,
                                value=value)

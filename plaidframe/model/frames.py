@@ -113,7 +113,7 @@ def state_gradient(model: Model, pixels: DataFrame, value: str = "count", dense:
     """``dLL/d lambda`` per bin, array column ``grad``."""
     parts = pixel_gradient(model, pixels, value)
     n = model.n_states
-    sums = pixel_sums(model, pixels, value)
+    sums = _weighted_terms(model, pixels, value).agg(F.sum("x").alias("x"), F.sum("m").alias("m"))
     if dense:
         mass = cut(pair_mass(model))  # read for Z and for the gradient
         z = pair_mass_sums(mass, model).select("z").scalar()

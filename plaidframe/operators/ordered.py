@@ -107,10 +107,14 @@ def running_ranges(df: DataFrame, group: str, order: str, amount: Column, out: s
             .drop("__amount", "__before"))
 
 
-def smallest_by_key(df: DataFrame, key: str, n: int, digits: int = 3,
+def smallest_by_key(df: DataFrame, key: str, n: int, total: int | None = None, digits: int = 3,
                     border_rows: int = 1_000_000) -> DataFrame:
     """Exactly the ``n`` rows with the smallest hexadecimal ``key``.
 
+    Keys are hashes, so with the ``total`` number of rows known a filter on the key
+    leaves little more than ``n`` rows; these are written once and the rest works on
+    them.  Should the filter ever leave too few, the whole input is used instead.
+
     Counts per key prefix (4096 rows per pass) narrow down the prefix in which the
     n-th row lies until few rows share it.  Rows below that prefix are kept by a
     plain filter and only the border prefix is ordered, so no task ever sorts or
@@ -118,6 +122,11 @@ def smallest_by_key(df: DataFrame, key: str, n: int, digits: int = 3,
     """
     if n <= 0:
         return df.limit(0)
+    limit = (n + 8.0 * n ** 0.5 + 64.0) / total if total else 1.0
+    if limit < 0.5:
+        few = cut(df.where(F.col(key) < format(int(limit * 16 ** 13), "013x")))
+        if few.count() >= n:
+            df = few
     taken, border = 0, ""
     while True:
         width = len(border) + digits

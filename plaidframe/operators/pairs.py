@@ -12,17 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div
+from ..session import sized
 
 PAIR_BLOCK = 256
 
 
-def block_pairs(spark, n_bins: int, size: int) -> DataFrame:
-    """``(block1 <= block2)`` for every pair of blocks, generated in parallel."""
+def block_pairs(spark, n_bins: int, size: int, per_task: int = 32) -> DataFrame:
+    """``(block1 <= block2)`` for every unordered pair of blocks.
+
+    Block ``b`` is paired with the half of the blocks that follow it on a circle, so
+    every range of rows holds the same amount of work and no shuffle is needed to
+    spread it.
+    """
     blocks = -(-n_bins // size)
-    tasks = max(spark.sparkContext.defaultParallelism, min(blocks, 2000))
-    return (spark.range(0, blocks, 1, tasks)
-            .select(F.col("id").cast("int").alias("block1"))
-            .withColumn("block2", F.explode(F.sequence(F.col("block1"), F.lit(blocks - 1)))))
+    half = blocks // 2 + 1
+    tasks = min(max(spark.sparkContext.defaultParallelism, -(-blocks * half // per_task)), blocks * half)
+    b, k = int_div(F.col("id"), half), F.pmod("id", F.lit(half)).cast("int")
+    rows = spark.range(0, blocks * half, 1, tasks).select(b.alias("b"), k.alias("k"))
+    if blocks % 2 == 0:  # opposite blocks would be met from both sides
+        rows = rows.where((F.col("k") < blocks // 2) | (F.col("b") < blocks // 2))
+    other = F.pmod(F.col("b") + F.col("k"), F.lit(blocks))
+    return rows.select(F.least("b", other).alias("block1"), F.greatest("b", other).alias("block2"))
 
 
 def bin_pairs(bins: DataFrame, n_bins: int, *, window1: tuple[int, int] | None = None,
@@ -44,9 +54,9 @@ def bin_pairs(bins: DataFrame, n_bins: int, *, window1: tuple[int, int] | None =
                            *[F.col(c).alias(f"{c}{k}") for c in extra])
 
     order = F.col("bin1_id") <= F.col("bin2_id") if diagonal else F.col("bin1_id") < F.col("bin2_id")
-    blocks = block_pairs(spark, n_bins, size)
-    spread = blocks.repartition(max(spark.sparkContext.defaultParallelism,
-                                    int(spark.conf.get("spark.sql.shuffle.partitions"))),
-                                "block1", "block2")
-    return (spread.join(side(1, window1), "block1").join(side(2, window2), "block2")
+    # the block pairs stay spread over the tasks while the bin side can be broadcast
+    width = 32 + 32 * len(extra)
+    return (block_pairs(spark, n_bins, size)
+            .join(sized(side(1, window1), n_bins, width), "block1")
+            .join(sized(side(2, window2), n_bins, width), "block2")
             .where(order).drop("block1", "block2"))

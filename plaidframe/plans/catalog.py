@@ -457,9 +457,11 @@ def dense_gradient_shared(d):
 
 def weighted_cells(d: ContactData) -> DataFrame:
     """Stored pixels plus the keyed sample of zeros with their multiplicity."""
-    sample = cut(zero_sample_keyed(d))
-    total = zeros.total_zeros(d.pixels(), d.bins(), d.genome)
-    return frames.with_zeros(d.pixels(), sample, total, min(ZERO_SAMPLE, total))
+    pixels, bins = cut(d.pixels()), cut(d.bins())
+    total = zeros.total_zeros(pixels, bins, d.genome)
+    sample = cut(zeros.sample_zeros(pixels, bins, d.genome, ZERO_SAMPLE, ZERO_SEED, enumerate_all=True,
+                                    total=total))
+    return frames.with_zeros(pixels, sample, total, min(ZERO_SAMPLE, total))
 
 
 @query
@@ -518,7 +520,7 @@ def resample_inverse_cdf(d):
 @query
 def resample_multinomial(d):
     total = int(d.pixels().agg(F.sum("count")).first()[0])
-    return sampling.multinomial(matrix(d).values(), total, seed=THIN_SEED)
+    return sampling.multinomial(matrix(d).values(), total, seed=THIN_SEED, expected_cells=d.n_bins ** 2 // 2)
 
 
 @query

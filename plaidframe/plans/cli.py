@@ -212,7 +212,8 @@ def run_resample(spark: SparkSession, args) -> None:
     if reads < 0:
         raise SystemExit("the number of reads must not be negative")
     model = Model(states, genome, fit.cis_weights, fit.trans_weights, fit.cis_dd_power, fit.trans_dd)
-    drawn = multinomial(ModelMatrix(model).values(), reads, seed=args.seed)
+    drawn = multinomial(ModelMatrix(model).values(), reads, seed=args.seed,
+                        expected_cells=max(1, genome.n_bins ** 2 // 2))
     if args.balance == "yes":
         drawn = (balance(drawn.withColumn("value", F.col("count").cast("double")).drop("count"), genome.n_bins)
                  .where("bin1_id <= bin2_id").withColumnRenamed("balanced", "count"))

@@ -8,7 +8,7 @@ grow with the tables, and each table is used whole.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +38,10 @@ class ContactData:
     @cached_property
     def sizes(self) -> tuple[int, int, int, int]:
         """(bin width in parts, bins, vectors, orders): four numbers from three tables."""
-        parts = self.table("part").agg(F.max("p_partkey")).first()[0] + 1
-        vectors = self.table("embeddings").agg(F.max("vec_id")).first()[0] + 1
-        orders = self.table("lineitem").agg(F.max("l_orderkey")).first()[0] + 1
+        highest = [self.table(table).agg(F.lit(k).alias("k"), F.max(column).alias("top")) for k, (table, column)
+                   in enumerate((("part", "p_partkey"), ("embeddings", "vec_id"), ("lineitem", "l_orderkey")))]
+        rows = reduce(DataFrame.unionByName, highest).collect()  # three rows, one job
+        parts, vectors, orders = (r["top"] + 1 for r in sorted(rows))
         width = max(1, -(-parts // vectors))
         return width, (parts - 1) // width + 1, vectors, orders
 
