@@ -44,8 +44,9 @@ def close(x, y) -> bool:
     return x == y
 
 
-def compare(spark, con, query, sql, sf_dir) -> str:
-    """Empty when both give the same columns and the same rows."""
+def compare(spark, con, query, sql, sf_dir, exact: bool = False) -> str:
+    """Empty when both give the same columns and the same rows; ``exact`` allows no
+    difference from rounding ties either."""
     got = query(spark, sf_dir)
     result = con.execute(sql)
     columns = [c[0] for c in result.description]
@@ -57,7 +58,7 @@ def compare(spark, con, query, sql, sf_dir) -> str:
     a, b = as_rows(got.columns, have), as_rows(columns, want)
     if len(a) != len(b):
         return f"{len(a)} rows against {len(b)}"
-    wrong = [(x, y) for x, y in zip(a, b) if x != y and not all(map(close, x, y))]
+    wrong = [(x, y) for x, y in zip(a, b) if x != y and (exact or not all(map(close, x, y)))]
     return f"{len(wrong)} of {len(a)} rows differ, e.g. {wrong[0]}" if wrong else ""
 
 
@@ -76,7 +77,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             if name in sql:
-                problem = compare(spark, con, fn, sql[name], sf_dir)
+                problem = compare(spark, con, fn, sql[name], sf_dir, exact=True)
             else:
                 problem = f"rows only: {fn(spark, sf_dir).count()}"
         except Exception as exc:  # report and go on with the next query
