@@ -104,8 +104,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RANDOM.integers(0, 1 << 63, (64, 256), dtype=np.uint64).ravel()
 _ODD = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -140,7 +140,7 @@ def spaced_words(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.n
 
     The second array has one entry more than there are rows.
     """
-    folded = _FOLD[raw]
+    folded = FOLD[raw]
     solid = np.zeros(len(raw) + 2, bool)
     solid[1:-1] = ~_SPACE[folded]
     border = np.zeros(len(raw) + 1, bool)
