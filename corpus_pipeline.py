@@ -39,7 +39,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = (neardup.near_duplicates(docs).where(~F.col("kept"))
+    gone = (neardup.near_duplicates(docs, percent=80).where(~F.col("kept"))
             .select(F.col("doc_id").alias("__gone")).distinct())
     left = packed(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
