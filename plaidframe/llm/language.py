@@ -149,6 +149,8 @@ class Filters:
         return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.langs:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         total = np.zeros(len(texts))
         counts = np.zeros((len(texts), len(self.langs)))
         for rows, gram in trigrams(texts):
@@ -156,8 +158,6 @@ class Filters:
             total += np.bincount(rows, minlength=len(texts))
             for k in range(len(self.langs)):
                 counts[:, k] += np.bincount(rows, (found[:, k // 63] >> (k % 63)) & 1, len(texts))
-        if not self.langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         true = np.maximum(0, (counts - total[:, None] * self.rates) / (1 - np.minimum(self.rates, 0.999)))
         best = true.argmax(axis=1)
         top = true[np.arange(len(texts)), best]
