@@ -64,14 +64,14 @@ def balance(cells: DataFrame, n_bins: int, value: str = "value", out: str = "bal
     """Balanced matrix, both orientations of every cell (converged means differ by at
     most ``epsilon``, so the two may differ in the last digits).
 
-    Zero cells stay unstored.  Bins without non-zero cells are absent from the result;
+    Zero cells stay unstored, missing cells stay missing (NULL).  Bins without non-zero cells are absent from the result;
     whether they count as zero or as unusable is up to the bin table of the caller.
     """
     result = balancing_factors(cells, n_bins, value, **options)
     # after an odd number of passes the scaled matrix lies transposed
     factors = result.factors
-    full = mirrored(cells.where(F.col(value) != 0).select("bin1_id", "bin2_id", value))
+    full = mirrored(cells.where(F.col(value).isNull() | (F.col(value) != 0)).select("bin1_id", "bin2_id", value))
     rows = factors.select(F.col("bin_id").alias("bin1_id"), F.col("row").alias("__r"))
     cols = factors.select(F.col("bin_id").alias("bin2_id"), F.col("col").alias("__c"))
-    return (full.join(sized(rows, n_bins, 16), "bin1_id").join(sized(cols, n_bins, 16), "bin2_id")
+    return (full.join(sized(rows, n_bins, 16), "bin1_id", "left").join(sized(cols, n_bins, 16), "bin2_id", "left")
             .select("bin1_id", "bin2_id", (F.col(value) * F.col("__r") * F.col("__c")).alias(out)))

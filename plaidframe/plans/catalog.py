@@ -192,13 +192,13 @@ def triangle_without_diagonal(d):
 
 @query
 def merge_by_diagonal(d):
-    cells = d.replicate_pixels().withColumnRenamed("count", "value")
+    cells = d.half_pixels().withColumnRenamed("count", "value")
     return clean.merged_by_diagonal(cells.where("replicate = 1"), cells.where("replicate = 2"))
 
 
 @query
 def zeros_to_null(d):
-    return d.replicate_pixels().where("bin1_id < bin2_id").select(
+    return d.replicate_pixels().select(
         "bin1_id", "bin2_id", "replicate", F.nullif(F.col("count") - 1, F.lit(0)).alias("extra"))
 
 
@@ -315,7 +315,7 @@ def safe_log_counts(d):
 
 @query
 def safe_divide(d):
-    cells = d.replicate_pixels()
+    cells = d.half_pixels()
     parts = cells.groupBy("bin1_id", "bin2_id").agg(
         F.sum(F.when(F.col("replicate") == 1, F.col("count")).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("replicate") == 2, F.col("count")).otherwise(0)).cast("double").alias("b"))
@@ -548,8 +548,8 @@ def spearman_data_model(d):
 
 @query
 def pearson_replicates(d):
-    """Two replicates over all cells of the triangle without listing the zero cells."""
-    good = select.between_usable(d.replicate_pixels().where("bin1_id < bin2_id"), d.bins(), d.n_bins)
+    """Two halves of the replicates over all cells of the triangle without listing the zero cells."""
+    good = select.between_usable(d.half_pixels().where("bin1_id < bin2_id"), d.bins(), d.n_bins)
     n = usable(d).agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).scalar()
     out = compare.sparse_pearson(good.where("replicate = 1"), good.where("replicate = 2"), n, "count", "count")
     return out.select(r("pearson", 9).alias("pearson"))

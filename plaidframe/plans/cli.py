@@ -8,7 +8,7 @@ import time
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import key_values, number
@@ -186,6 +186,20 @@ def run_stretch(spark: SparkSession, args) -> None:
     fits.save(spark, args.output, replace(fit, genome=genome, metadata=meta), mode="overwrite", states=states)
 
 
+def thinned_bins(thin: DataFrame, bins: DataFrame, balanced_now: bool) -> DataFrame:
+    """Bin table of a thinned matrix: the old weights do not fit its counts any more.
+
+    Usable bins get weight 1, since the stored counts are to be read as they are; after
+    balancing, bins that the marginal filter removed are unusable.
+    """
+    even = F.when(F.col("weight").isNotNull(), F.lit(1.0))
+    if not balanced_now:
+        return bins.withColumn("weight", even)
+    left = thin.where("count is not null").select(F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id")).distinct()
+    return (bins.join(left.withColumn("__left", F.lit(True)), "bin_id", "left")
+            .withColumn("weight", F.when(F.col("__left"), even)).drop("__left"))
+
+
 def run_downsample(spark: SparkSession, args) -> None:
     pixels, bins, genome = _source(spark, args, False)
     thin = downsampled(pixels, args.samples, args.seed)
@@ -193,6 +207,7 @@ def run_downsample(spark: SparkSession, args) -> None:
         kept = marginal_filter(thin, genome.n_bins).where("count is not null")
         thin = (balance(kept.withColumn("value", F.col("count").cast("double")).drop("count"), genome.n_bins)
                 .where("bin1_id <= bin2_id").withColumnRenamed("balanced", "count"))
+    bins = thinned_bins(thin, bins, args.balance == "yes")
     ContactStore(spark, args.output).write(thin, bins, genome, args.resolution, mode="overwrite")
 
 

@@ -39,6 +39,8 @@ contacts as (
 ),
 pixels as (select bin1_id, bin2_id, count(*) as count from contacts group by 1, 2),
 reps as (select bin1_id, bin2_id, replicate, count(*) as count from contacts group by 1, 2, 3),
+halves as (select bin1_id, bin2_id, case when replicate % 2 = 1 then 1 else 2 end as replicate,
+                  cast(sum(count) as bigint) as count from reps group by 1, 2, 3),
 ends as (
   select p.*, a.weight as w1, b.weight as w2, a.chrom_idx as c1, b.chrom_idx as c2
   from pixels p join bins a on a.bin_id = p.bin1_id join bins b on b.bin_id = p.bin2_id
@@ -62,11 +64,11 @@ pairs as (
   from states a join states b on a.bin_id < b.bin_id
 ),
 terms as (
-  select *, case when cis then -1.0 * ln_d else -1.5 end as ln_decay,
-         case when cis then -1.0 * (ln_d + ln(50000.0::double)) else -1.5 end as ln_decay_r,
+  select *, case when cis then -0.8 * ln_d else -2.1 end as ln_decay,
+         case when cis then -0.8 * (ln_d + ln(50000.0::double)) else -2.1 end as ln_decay_r,
          case when cis
-              then 0.5*a0*b0 + 0.2*a1*b1 + 0.22*a2*b2 + 0.05*(a0*b2 + a2*b0) + 0.03*(a1*b2 + a2*b1)
-              else 0.4*a1*b1 + 0.42*a2*b2 + 0.05*(a0*b2 + a2*b0) + 0.03*(a1*b2 + a2*b1) end as g
+              then 0.36*a0*b0 + 0.24*a1*b1 + 0.3*a2*b2 + 0.08*(a0*b1 + a1*b0) + 0.02*(a0*b2 + a2*b0) + 0.06*(a1*b2 + a2*b1)
+              else 0.12*a0*b0 + 0.28*a1*b1 + 0.33*a2*b2 + 0.04*(a0*b1 + a1*b0) + 0.1*(a0*b2 + a2*b0) + 0.05*(a1*b2 + a2*b1) end as g
   from pairs
 ),
 counted as (select t.*, p.count from terms t join pixels p using (bin1_id, bin2_id))
@@ -104,8 +106,8 @@ weighted as (
 """
 
 STATE_VALUES = ", ".join(rnd(f"p{k}", 9) + f" as p{k}" for k in range(3))
-CIS_W = [[0.5, 0.0, 0.05], [0.0, 0.2, 0.03], [0.05, 0.03, 0.22]]
-TRANS_W = [[0.0, 0.0, 0.05], [0.0, 0.4, 0.03], [0.05, 0.03, 0.42]]
+CIS_W = [[0.36, 0.08, 0.02], [0.08, 0.24, 0.06], [0.02, 0.06, 0.3]]
+TRANS_W = [[0.12, 0.04, 0.1], [0.04, 0.28, 0.05], [0.1, 0.05, 0.33]]
 
 
 def towards(side: str) -> list[str]:
@@ -279,9 +281,9 @@ from onull group by 1, 2""")
 add("remove_unusable_bins", "select bin1_id, bin2_id, count as value from ends where w1 is not null and w2 is not null")
 add("mirror_full", MIRROR.format(v="count", t="pixels"))
 add("triangle_without_diagonal", f"select * {TRIANGLE_SQL}")
-add("merge_by_diagonal", "select bin2_id as bin1_id, bin1_id as bin2_id, count as value from reps where replicate = 1 and "
-    "bin1_id < bin2_id union all select bin1_id, bin2_id, count from reps where replicate = 2 and bin1_id < bin2_id")
-add("zeros_to_null", "select bin1_id, bin2_id, replicate, nullif(count - 1, 0) as extra from reps where bin1_id < bin2_id")
+add("merge_by_diagonal", "select bin2_id as bin1_id, bin1_id as bin2_id, count as value from halves where replicate = 1 and "
+    "bin1_id < bin2_id union all select bin1_id, bin2_id, count from halves where replicate = 2 and bin1_id < bin2_id")
+add("zeros_to_null", "select bin1_id, bin2_id, replicate, nullif(count - 1, 0) as extra from reps")
 add("row_totals", f"select bin1_id as bin_id, cast(sum(count) as bigint) as total from ({MIRROR.format(v='count', t='pixels')}) group by 1")
 add("marginal_filter", f""",
 strong as (select bin1_id as bin_id from ({MIRROR.format(v='count', t='pixels')}) group by 1 having sum(count) >= 230)
@@ -338,7 +340,7 @@ add("normalise_rows", f"select bin1_id, bin2_id, {rnd('value / sum(value) over (
 add("safe_log_counts", f"select bin1_id, bin2_id, {rnd('ln(value + (select min(nullif(value, 0)) from cells) / 10)', 9)} as ln_value from cells")
 add("safe_divide", f"select bin1_id, bin2_id, round(nullif(a, 0) / nullif(b, 0), 9) as ratio from (select bin1_id, bin2_id, "
     "sum(case when replicate = 1 then count else 0 end)::double as a, "
-    "sum(case when replicate = 2 then count else 0 end)::double as b from reps group by 1, 2)")
+    "sum(case when replicate = 2 then count else 0 end)::double as b from halves group by 1, 2)")
 add("balance_k_passes", balance_sql(3))
 add("balance_converged", f"select distinct bin1_id as bin_id, 1.0::double as mean from ({MIRROR.format(v='count', t='pixels')})")
 add("balance_by_coefficients", f"select bin1_id, bin2_id, {rnd('value', 9)} as value from balanced")
@@ -359,7 +361,7 @@ moved as (select case when c1 = 2 then bin1_id - x_lo else bin1_id + x end as m1
           from terms, size where c1 in (0, 2) and c2 in (0, 2))
 select cast(least(m1, m2) as int) as bin1_id, cast(greatest(m1, m2) as int) as bin2_id, {rnd('v', 12)} as value from moved""")
 add("compartment_only_matrix", f""",
-g as (select bin1_id, bin2_id, 0.5*a0*b0 + 0.2*a1*b1 + 0.22*a2*b2 + 0.05*(a0*b2 + a2*b0) + 0.03*(a1*b2 + a2*b1) as g from pairs)
+g as (select bin1_id, bin2_id, 0.36*a0*b0 + 0.24*a1*b1 + 0.3*a2*b2 + 0.08*(a0*b1 + a1*b0) + 0.02*(a0*b2 + a2*b0) + 0.06*(a1*b2 + a2*b1) as g from pairs)
 select bin1_id, bin2_id, {rnd('g / sum(g) over ()', 12)} as value from g""")
 add("decay_only_model", f"select bin1_id, bin2_id, {rnd('exp(ln_decay_r) / sum(exp(ln_decay_r)) over ()', 12)} as value from terms")
 add("logsumexp_by_area", f""",
@@ -420,8 +422,8 @@ add("spearman_data_model", RANKED + f"select {rnd('corr(ra, rb)', 9)} as spearma
 add("pearson_replicates", f""",
 couple as (select a.bin_id as bin1_id, b.bin_id as bin2_id, coalesce(x.count, 0)::double as x, coalesce(y.count, 0)::double as y
          from good a join good b on a.bin_id < b.bin_id
-         left join reps x on x.bin1_id = a.bin_id and x.bin2_id = b.bin_id and x.replicate = 1
-         left join reps y on y.bin1_id = a.bin_id and y.bin2_id = b.bin_id and y.replicate = 2)
+         left join halves x on x.bin1_id = a.bin_id and x.bin2_id = b.bin_id and x.replicate = 1
+         left join halves y on y.bin1_id = a.bin_id and y.bin2_id = b.bin_id and y.replicate = 2)
 select {rnd('corr(x, y)', 9)} as pearson from couple""")
 add("fit_likelihood", ALL_PAIRS + f"select {rnd('(ab - ln(tb) * ua) / ta', 9)} as likelihood from {LIKELIHOOD_SUMS}")
 RATIO = ALL_PAIRS + f"select {rnd('exp((ab_pos - ln(tb) * ua) / ta - (aa - ln(ta) * ua) / ta)', 9)} as likelihood_ratio from {LIKELIHOOD_SUMS}"

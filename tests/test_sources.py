@@ -111,6 +111,11 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["downsample", *src, "-s", "0.5", "-r", "100", "-o", str(tmp_path / "d.store"), "--balance", "no"], spark)
     total = sum(v for (i, j), v in cells.items() if i < j)
     assert ContactStore(spark, str(tmp_path / "d.store")).pixels().agg(F.sum("count")).first()[0] == total // 2
+    thinned = ContactStore(spark, str(tmp_path / "d.store"))
+    assert {r.weight for r in thinned.bins().collect()} <= {1.0, None}
+    raw = {(r[0], r[1]): r[2] for r in thinned.pixels().collect()}
+    for r in thinned.read("all", balance="weight")[0].collect():  # what is stored is what a later fit reads
+        assert r["count"] is None or r["count"] == raw[r[0], r[1]]
     meta = cli.main(["datafile", str(tmp_path / "top1"), "--set", "a=1,b=x", "--parameters"], spark)
     assert meta["a"] == 1 and meta["b"] == "x"
 
@@ -178,3 +183,20 @@ def test_mixing_scores(spark):
     score = mixing.profile_scores(reads, profiles).where("profile = 'a'").first()["score"]
     exact = math.lgamma(204) - math.lgamma(4) - math.lgamma(201) + 3 * math.log(p[0]) + 200 * math.log(p[8])
     assert score == pytest.approx(exact, rel=1e-12)
+
+
+def test_bins_of_a_thinned_and_balanced_matrix(spark):
+    bins = spark.createDataFrame([(0, "c", 0.5), (1, "c", 2.0), (2, "c", None), (3, "c", 3.0)], "bin_id int, chrom string, weight double")
+    thin = spark.createDataFrame([(0, 1, 1.25), (1, 1, 0.5), (3, 3, None)], "bin1_id int, bin2_id int, count double")
+    told = lambda flag: {r.bin_id: r.weight for r in cli.thinned_bins(thin, bins, flag).collect()}
+    assert told(True) == {0: 1.0, 1: 1.0, 2: None, 3: None}
+    assert told(False) == {0: 1.0, 1: 1.0, 2: None, 3: 1.0}
+
+
+def test_missing_cells_survive_balancing(spark):
+    from plaidframe.operators.balance import balance
+    cells = spark.createDataFrame([(0, 1, 2.0), (0, 2, 3.0), (1, 2, 5.0), (0, 0, None), (2, 3, None), (3, 3, 0.0)],
+                                  "bin1_id int, bin2_id int, value double")
+    got = {(r[0], r[1]): r[2] for r in balance(cells, 4).collect()}
+    assert {k for k, v in got.items() if v is None} == {(0, 0), (2, 3), (3, 2)}
+    assert len(got) == 9 and all(v > 0 for k, v in got.items() if v is not None)
