@@ -30,24 +30,26 @@ def remainder(id_column: str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], amount: Column,
-                out: str) -> DataFrame:
-    """Sum of ``amount`` over the earlier rows of the same ``keys`` (own row excluded).
+def running_sum(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column],
+                amounts: dict[str, Column]) -> DataFrame:
+    """Sums of ``amounts`` (by name of the new column) over the earlier rows of the same ``keys``.
 
     ``block`` must not decrease along ``order``.  Rows are windowed within a block
     only; the sums of the blocks before are added from a table with one row a block,
     so a key that holds a third of all rows is spread over as many tasks as blocks.
     Keys and blocks must not be null.
     """
-    tagged = df.withColumn("__block", block).withColumn("__amount", amount)
+    parts = {f"__amount_{name}": amount for name, amount in amounts.items()}
+    tagged = df.withColumn("__block", block).withColumns(parts)
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (tagged.groupBy(*keys, "__block").agg(F.sum("__amount").alias("__sum"))
-            .select(*keys, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")))
+    sums = (tagged.groupBy(*keys, "__block").agg(*[F.sum(c).alias(c) for c in parts])
+            .select(*keys, "__block", *[F.coalesce(F.sum(f"__amount_{n}").over(before), F.lit(0)).alias(f"__before_{n}")
+                                        for n in amounts]))
     inside = (Window.partitionBy(*keys, "__block").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (tagged.join(sums, [*keys, "__block"])
-            .withColumn(out, F.col("__before") + F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
-            .drop("__block", "__amount", "__before"))
+    joined = tagged.join(sums, [*keys, "__block"]).withColumns(
+        {n: F.col(f"__before_{n}") + F.coalesce(F.sum(f"__amount_{n}").over(inside), F.lit(0)) for n in amounts})
+    return joined.drop("__block", *parts, *[f"__before_{n}" for n in amounts])
 
 
 def fields(ddl: str) -> list[T.StructField]:

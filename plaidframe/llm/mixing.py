@@ -73,7 +73,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), epochs: int
         F.md5(text_key.cast("binary")).alias("__key")))
     wanted = targets(sized.groupBy("__source").agg(F.sum("size").alias("source_size")), weights, epochs)
     placed = running_sum(sized, ["__source"], F.substring("__key", 1, 3), [F.col("__key"), F.col("doc_id"), F.col("size")],
-                         F.col("size"), "__earlier")
+                         {"__earlier": F.col("size")})
     # one row per source and block carries the targets, so that a large source is no hot key of the join
     spread = sized.select("__source", F.substring("__key", 1, 3).alias("__piece")).distinct().join(wanted, "__source")
     budget = F.floor("target")
