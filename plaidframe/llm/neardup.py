@@ -6,9 +6,11 @@ its smallest id goes on.  A signature has 128 minima.  Each of 48 trees orders t
 of them: a key of the first 8 levels, then of 12, then of 16.  Neighbours in a tree's order that
 agree in at least 8 levels are candidates.  In a thin region all pairs within reach are
 compared; in a dense one the sort by the deeper levels puts those with the longest common
-prefix next to each other, so the depth adapts to the region.  Two rounds keep dense groups cheap:
+prefix next to each other, so the depth adapts to the region.  Rounds keep dense groups cheap:
 first direct neighbours only, confirmed and joined to components; then all within ``reach``,
-but only pairs of different components.  A pair at similarity 0.85 shares 8 levels in a tree
+but only pairs of different components.  Regions in which members of different components
+stay beyond reach of each other are ordered anew, by other deep levels, as long as such a
+round finds a link.  A pair at similarity 0.85 shares 8 levels in a tree
 with probability 0.27, so 48 trees miss it with probability 3e-7.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and stay; rows with
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, sized
 from .common import append, mix, slices, spaced_words
 from .components import components
 
@@ -38,7 +40,7 @@ REACH = 16
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _MASKS = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ORDERS = np.stack([_RANDOM.permutation(MINIMA)[:DEPTH] for _ in range(TREES)])
+_ORDERS = np.stack([_RANDOM.permutation(MINIMA) for _ in range(TREES)])
 _PLACES = _RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -83,8 +85,13 @@ def sketch(columns: list[pa.Array]) -> list[pa.Array]:
             pa.array(signs, pa.binary())]
 
 
-def tree_rows(classes: DataFrame) -> DataFrame:
-    """``(key, deep, node, component)``: the place of every class in every tree's order."""
+def tree_rows(classes: DataFrame, turn: int = 0) -> DataFrame:
+    """``(key, deep, node, component)``: the place of every class in every tree's order.
+
+    The first 8 levels make the key; ``turn`` chooses the minima of the 8 levels below.
+    """
+    below = FIRST + turn * (DEPTH - FIRST) % (MINIMA - FIRST)
+    levels = [*range(FIRST), *range(below, below + DEPTH - FIRST)]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -94,7 +101,7 @@ def tree_rows(classes: DataFrame) -> DataFrame:
                 sign = np.stack([np.frombuffer(b, "<u2") for b in batch.column(0).to_pylist()]).astype(np.uint64)
                 keys, deep = [], []
                 for tree in range(TREES):
-                    path = sign[:, _ORDERS[tree]]
+                    path = sign[:, _ORDERS[tree, levels]]
                     key = (path[:, :FIRST] * _PLACES[:FIRST]).sum(axis=1, dtype=np.uint64) + seeds[tree]
                     mid = mix((path[:, FIRST:12] * _PLACES[FIRST:12]).sum(axis=1, dtype=np.uint64))
                     end = mix((path[:, 12:] * _PLACES[12:16]).sum(axis=1, dtype=np.uint64))
@@ -112,7 +119,11 @@ def tree_rows(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(ordered: DataFrame, reach: int) -> DataFrame:
-    """Pairs of different components, at most ``reach`` places apart, whose first 8 levels agree."""
+    """Pairs of different components, at most ``reach`` places apart, whose first 8 levels agree.
+
+    A row with null ``v`` says that under the key ``u`` different components are farther apart.
+    """
+    hold = reach + 2
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [np.zeros(0, np.int64)] * 3
@@ -129,13 +140,24 @@ def neighbours(ordered: DataFrame, reach: int) -> DataFrame:
                 a, b = node[at], node[at + lag]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-            last = [x[-reach:] for x in (key, node, part)]
+            for lag in range(reach + 1, min(hold, len(key) - 1) + 1):
+                begin = max(old - lag, 0)
+                apart = (key[begin:-lag] == key[begin + lag:]) & (part[begin:-lag] != part[begin + lag:])
+                crowded = np.unique(key[begin:-lag][apart])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(crowded), pa.nulls(len(crowded), pa.int64())], names=["u", "v"])
+            last = [x[-hold:] for x in (key, node, part)]
 
     return ordered.select("key", "node", "component").mapInArrow(pair, "u long, v long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach ``percent`` per cent of their union."""
+    """The pairs whose full sets reach ``percent`` per cent of their union.
+
+    Only texts that occur in a pair are shuffled.
+    """
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = texts.join(sized(nodes, nodes.count(), 64), "node", "left_semi")
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("__left"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("__right"))
 
@@ -162,21 +184,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = REACH) -> D
     lead = cut(full.select("left", "right", "signature", F.col("doc_id").alias("node"))
                .join(classes, ["left", "right", "node"], "left_semi").dropDuplicates(["left", "right", "node"]))
     texts = rows.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
-    whole = lead.withColumn("component", F.col("node"))
-    ordered = sort_trees(whole)
-    first = cut(neighbours(ordered, 1))
-    links = cut(confirm(first, texts, percent))
-    joined = components(links)
-    whole = (lead.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    second = neighbours(sort_trees(whole), reach).join(first, ["u", "v"], "left_anti")
-    more = confirm(second, texts, percent)
+    ordered = sort_trees(tree_rows(lead.withColumn("component", F.col("node"))))
+    tried = cut(neighbours(ordered, 1)).where("v is not null")
+    links = cut(confirm(tried, texts, percent))
+    crowded, turn = None, 0
+    while True:
+        joined = components(links)
+        whole = lead.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = tree_rows(whole, turn)
+        if crowded is not None:
+            placed = placed.join(crowded, "key", "left_semi")
+        near = cut(neighbours(sort_trees(placed), reach))
+        pairs = cut(near.where("v is not null").join(tried, ["u", "v"], "left_anti"))
+        more = cut(confirm(pairs, texts, percent))
+        stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        links = stars.unionByName(more)
+        crowded = near.where("v is null").select(F.col("u").alias("key"))
+        if crowded.isEmpty() or (turn and more.isEmpty()):
+            break
+        tried, turn = tried.unionByName(pairs), turn + 1
     same_set = members.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    found = components(stars.unionByName(more).unionByName(same_set))
+    found = components(links.unionByName(same_set))
     return (sketched.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
 
 
-def sort_trees(classes: DataFrame) -> DataFrame:
-    return tree_rows(classes).repartitionByRange("key", "deep", "node").sortWithinPartitions("key", "deep", "node")
+def sort_trees(placed: DataFrame) -> DataFrame:
+    return placed.repartitionByRange("key", "deep", "node").sortWithinPartitions("key", "deep", "node")

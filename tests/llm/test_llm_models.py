@@ -98,6 +98,27 @@ def test_near_duplicates_brute_force(spark):
     texts += [texts[0].upper(), texts[1].replace(" ", "\n "), "", None, "a b", "A  b", "a b c"]
     got = {r.doc_id: r for r in neardup.near_duplicates(
         spark.createDataFrame([(i, t, "en", "s", 0, 7) for i, t in enumerate(texts)], DOCS)).collect()}
+    check_components(got, texts)
+
+
+def test_near_duplicates_of_a_crowded_region(spark):
+    """Far more neighbours than the reach: short chains of links within one dense family."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for branch in range(25):
+        copy = list(base)
+        for at in rng.sample(range(2, 148, 9), 4):
+            copy[at] = f"b{branch}.{at}"
+        for step in range(4):
+            copy = list(copy)
+            copy[rng.randrange(150)] = f"s{branch}.{step}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 7) for i, t in enumerate(texts)], DOCS)
+    check_components({r.doc_id: r for r in neardup.near_duplicates(docs, reach=2).collect()}, texts)
+
+
+def check_components(got, texts):
     sets = []
     for t in texts:
         w = (t or "").lower().split()
