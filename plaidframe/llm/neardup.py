@@ -10,7 +10,7 @@ prefix next to each other, so the depth adapts to the region.  Rounds keep dense
 first direct neighbours only, confirmed and joined to components; then all within ``reach``,
 but only pairs of different components.  Regions in which members of different components
 stay beyond reach of each other are ordered anew, by other deep levels, as long as such a
-round finds a link.  A pair at similarity 0.85 shares 8 levels in a tree
+round finds a link among the ``AGAIN`` next places.  A pair at similarity 0.85 shares 8 levels in a tree
 with probability 0.27, so 48 trees miss it with probability 3e-7.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and stay; rows with
@@ -37,6 +37,7 @@ TREES = 48
 DEPTH = 16
 FIRST = 8
 REACH = 16
+AGAIN = 2
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _MASKS = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = REACH) -> D
         placed = tree_rows(whole, turn)
         if crowded is not None:
             placed = placed.join(crowded, "key", "left_semi")
-        near = cut(neighbours(sort_trees(placed), reach))
+        near = cut(neighbours(sort_trees(placed), AGAIN if turn else reach))
         pairs = cut(near.where("v is not null").join(tried, ["u", "v"], "left_anti"))
         more = cut(confirm(pairs, texts, percent))
         stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
