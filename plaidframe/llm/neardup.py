@@ -36,7 +36,7 @@ MINIMA = 128
 TREES = 48
 DEPTH = 16
 FIRST = 8
-REACH = 4
+REACH = 16
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _MASKS = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
