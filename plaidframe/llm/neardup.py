@@ -4,14 +4,15 @@ A document's set holds the hashes of its distinct 5-word shingles (64 bits; a wr
 colliding hashes within one pair, below 1e-12).  Documents with equal sets form a class, only
 its smallest id goes on.  A signature has 128 minima.  Each of 48 trees orders the classes by 16
 of them: a key of the first 8 levels, then of 12, then of 16.  Neighbours in a tree's order that
-agree in at least 8 levels are candidates.  In a thin region all pairs within reach are
-compared; in a dense one the sort by the deeper levels puts those with the longest common
-prefix next to each other, so the depth adapts to the region.  Rounds keep dense groups cheap:
-first direct neighbours only, confirmed and joined to components; then all within ``reach``,
-but only pairs of different components.  Regions in which members of different components
-stay beyond reach of each other are ordered anew, by other deep levels, as long as such a
-round finds a link.  A pair at similarity 0.85 shares 8 levels in a tree
-with probability 0.27, so 48 trees miss it with probability 3e-7.
+agree in at least 8 levels are candidates; those confirmed are joined to components.  This makes
+dense groups few components at little cost, but a forest alone misses links: trees share minima
+(at similarity 0.85 all 48 miss a pair with probability 1.1e-4, at 0.80 with 3.1e-3), and a crowded
+region keeps links apart in every order.
+
+So what is left is searched exactly.  Shingles have one order, those that repeat often last.  Two sets that
+reach the threshold share a shingle among the first few of both (a prefix filter), and from its places
+follows how many they can share at most.  Pairs of different components that pass both are confirmed; no pair
+beyond the threshold is left out, whatever the order and however dense the region.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and stay; rows with
 the same doc_id are one node with several texts; rows without doc_id stay, with a null component;
@@ -20,6 +21,7 @@ ties do not matter, since components do not depend on order; an empty table give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,9 @@ MINIMA = 128
 TREES = 48
 DEPTH = 16
 FIRST = 8
-REACH = 16
+REACH = 1
+COUNTERS = 1 << 20
+CHUNK = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _MASKS = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -85,13 +89,11 @@ def sketch(columns: list[pa.Array]) -> list[pa.Array]:
             pa.array(signs, pa.binary())]
 
 
-def tree_rows(classes: DataFrame, turn: int = 0) -> DataFrame:
+def tree_rows(classes: DataFrame) -> DataFrame:
     """``(key, deep, node, component)``: the place of every class in every tree's order.
 
-    The first 8 levels make the key; ``turn`` chooses the minima of the 8 levels below.
+    The first 8 levels make the key.
     """
-    below = FIRST + turn * (DEPTH - FIRST) % (MINIMA - FIRST)
-    levels = [*range(FIRST), *range(below, below + DEPTH - FIRST)]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -101,7 +103,7 @@ def tree_rows(classes: DataFrame, turn: int = 0) -> DataFrame:
                 sign = np.stack([np.frombuffer(b, "<u2") for b in batch.column(0).to_pylist()]).astype(np.uint64)
                 keys, deep = [], []
                 for tree in range(TREES):
-                    path = sign[:, _ORDERS[tree, levels]]
+                    path = sign[:, _ORDERS[tree, :DEPTH]]
                     key = (path[:, :FIRST] * _PLACES[:FIRST]).sum(axis=1, dtype=np.uint64) + seeds[tree]
                     mid = mix((path[:, FIRST:12] * _PLACES[FIRST:12]).sum(axis=1, dtype=np.uint64))
                     end = mix((path[:, 12:] * _PLACES[12:16]).sum(axis=1, dtype=np.uint64))
@@ -119,11 +121,7 @@ def tree_rows(classes: DataFrame, turn: int = 0) -> DataFrame:
 
 
 def neighbours(ordered: DataFrame, reach: int) -> DataFrame:
-    """Pairs of different components, at most ``reach`` places apart, whose first 8 levels agree.
-
-    A row with null ``v`` says that under the key ``u`` different components are farther apart.
-    """
-    hold = reach + 2
+    """Pairs of different components, at most ``reach`` places apart, whose first 8 levels agree."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [np.zeros(0, np.int64)] * 3
@@ -140,13 +138,7 @@ def neighbours(ordered: DataFrame, reach: int) -> DataFrame:
                 a, b = node[at], node[at + lag]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-            for lag in range(reach + 1, min(hold, len(key) - 1) + 1):
-                begin = max(old - lag, 0)
-                apart = (key[begin:-lag] == key[begin + lag:]) & (part[begin:-lag] != part[begin + lag:])
-                crowded = np.unique(key[begin:-lag][apart])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(crowded), pa.nulls(len(crowded), pa.int64())], names=["u", "v"])
-            last = [x[-hold:] for x in (key, node, part)]
+            last = [x[-reach:] for x in (key, node, part)]
 
     return ordered.select("key", "node", "component").mapInArrow(pair, "u long, v long").distinct()
 
@@ -172,8 +164,108 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return append(joined, "linked boolean", ["__left", "__right"], check).where("linked").select("u", "v")
 
 
+def repeats(rows: DataFrame) -> np.ndarray:
+    """How often shingles repeat within a chunk of texts, by hash in ``COUNTERS`` buckets.
+
+    It orders the shingles of prefixes and decides on their cost only, so that counts may be low or shared.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(COUNTERS, np.int64), [], 0
+
+        def settle() -> None:
+            shingle, n = np.unique(np.concatenate(held), return_counts=True)
+            np.add.at(total, bucket_of(shingle[n > 1]), n[n > 1])
+            held.clear()
+
+        for batch in batches:
+            for shingles in shingle_sets(batch.column(0)):
+                held.append(shingles)
+                size += len(shingles)
+                if size >= CHUNK:
+                    settle()
+                    size = 0
+        if held:
+            settle()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    table = (rows.select("text").mapInArrow(count, "bucket long, n long")
+             .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
+    out = np.zeros(COUNTERS, np.int64)
+    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    return out
+
+
+def bucket_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
+
+
+def prefix_rows(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``(token, place, n, node, component)``: the first shingles of every class, n is the size of its set.
+
+    A set of n shares at least ``percent`` of its shingles with any it is linked to, so one of the first
+    n - least + 1 is shared.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(repeats(rows))
+
+    def prefix(columns: list[pa.Array]) -> list[pa.Array]:
+        sizes, left, right, packed = [], [], [], []
+        for shingles in shingle_sets(columns[0]):
+            n = len(shingles)
+            sizes.append(n)
+            left.append(int(shingles.sum(dtype=np.uint64).view(np.int64)) if n else 0)
+            right.append(int(mix(shingles ^ _PLACES[9]).sum(dtype=np.uint64).view(np.int64)) if n else 0)
+            order = np.argsort(sent.value[bucket_of(shingles)], kind="stable")
+            packed.append(shingles[order[:n + percent * -n // 100 + 1]].tobytes() if n else b"")
+        return [pa.array(sizes, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()),
+                pa.array(packed, pa.binary())]
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 256):
+                batch = whole.slice(start, 256)
+                packed = [np.frombuffer(b, np.int64) for b in batch.column(0).to_pylist()]
+                again = pa.array(np.repeat(np.arange(len(packed)), [len(x) for x in packed]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(packed)), pa.array(np.concatenate([np.arange(len(x)) for x in packed])),
+                     *[batch.column(k).take(again) for k in (1, 2, 3)]],
+                    names=["token", "place", "n", "node", "component"])
+
+    made = append(rows.withColumnRenamed("doc_id", "node"), "n long, left long, right long, packed binary", ["text"], prefix)
+    held = made.drop("text").join(sized(classes, classes.count(), 64), ["node", "left", "right"])
+    return cut(held.select("packed", "n", "node", "component")).mapInArrow(
+        expand, "token long, place long, n long, node long, component long")
+
+
+def remaining_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of ``classes(node, left, right, component)``, none that is linked left out.
+
+    Only shingles with several components in their prefixes are joined, in bands of sizes that can be linked.  The
+    smaller set of a pair needs fewer of its shingles.  Their places tell how many shingles can be shared.
+    """
+    every = prefix_rows(rows, classes, percent)
+    mixed = cut(every.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                .where("low < high").select("token"))
+    width = math.log(100 / percent) + 1e-9
+    some = cut(every.join(sized(mixed, mixed.count(), 64), "token", "left_semi").dropDuplicates()
+               .withColumn("band", F.floor(F.log("n") / F.lit(width))))
+    few = some.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)))
+    a = few.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("a")
+    b = some.alias("b")
+    shared = F.least(F.expr("a.n - a.place"), F.expr("b.n - b.place"))
+    fits = (F.expr("a.token = b.token and a.band = b.band and a.component <> b.component")
+            & F.expr("a.n < b.n or (a.n = b.n and a.node < b.node)")
+            & (percent * F.col("b.n") <= 100 * F.col("a.n"))
+            & ((100 + percent) * shared >= percent * (F.col("a.n") + F.col("b.n"))))
+    return a.join(b, fits).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = REACH) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``."""
+    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``.
+
+    ``reach``, how far the forest looks in an order, moves work between the two searches and leaves the result.
+    """
     rows = docs.select("doc_id", "text")
     sketched = cut(append(rows, "n_shingles long, left long, right long, signature binary", ["text"], sketch)
                    .drop("text"))
@@ -185,24 +277,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = REACH) -> D
                .join(classes, ["left", "right", "node"], "left_semi").dropDuplicates(["left", "right", "node"]))
     texts = rows.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
     ordered = sort_trees(tree_rows(lead.withColumn("component", F.col("node"))))
-    tried = cut(neighbours(ordered, 1)).where("v is not null")
+    tried = cut(neighbours(ordered, reach))
     links = cut(confirm(tried, texts, percent))
-    crowded, turn = None, 0
-    while True:
-        joined = components(links)
-        whole = lead.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = tree_rows(whole, turn)
-        if crowded is not None:
-            placed = placed.join(crowded, "key", "left_semi")
-        near = cut(neighbours(sort_trees(placed), reach))
-        pairs = cut(near.where("v is not null").join(tried, ["u", "v"], "left_anti"))
-        more = cut(confirm(pairs, texts, percent))
-        stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        links = stars.unionByName(more)
-        crowded = near.where("v is null").select(F.col("u").alias("key"))
-        if crowded.isEmpty() or (turn and more.isEmpty()):
-            break
-        tried, turn = tried.unionByName(pairs), turn + 1
+    joined = cut(components(links))
+    rest = remaining_pairs(rows, lead.join(joined, "node", "left")
+                           .select("node", "left", "right", F.coalesce("component", "node").alias("component")), percent)
+    more = confirm(cut(rest.join(tried, ["u", "v"], "left_anti")), texts, percent)
+    links = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     same_set = members.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = components(links.unionByName(same_set))
     return (sketched.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -118,6 +118,36 @@ def test_near_duplicates_of_a_crowded_region(spark):
     check_components({r.doc_id: r for r in neardup.near_duplicates(docs, reach=2).collect()}, texts)
 
 
+def test_near_duplicates_that_the_forest_misses(spark, monkeypatch):
+    """A family at 0.84 to 0.85 of each other with few pairs at 0.86, most of them without a key in common."""
+    monkeypatch.setattr(neardup, "TREES", 1)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(800)]
+    places, used, sites = range(7, 790, 5), set(), []
+    while len(sites) < 100:
+        own = sorted(rng.sample(places, 7))
+        pairs = {(a, b) for a in own for b in own if a < b}
+        if not pairs & used:
+            used |= pairs
+            sites.append(own)
+    for k in range(8):  # two places of an earlier one, five of their own
+        while True:
+            own = sorted([*rng.sample(sites[k * 12], 2), *rng.sample(places, 5)])
+            if len({*own}) == 7 and sorted(len({*own} & {*x}) for x in sites)[-2:] == [1, 2]:
+                break
+        sites.append(own)
+    texts = []
+    for doc, own in enumerate(sites):
+        copy = list(base)
+        for at in own:
+            copy[at] = f"d{doc}.{at}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 7) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, reach=1).collect()}
+    linked = {100 + k: k * 12 for k in range(8)}
+    assert got == {i: linked.get(i, i) for i in range(len(texts))}
+
+
 def check_components(got, texts):
     sets = []
     for t in texts:
