@@ -8,7 +8,8 @@ lines fall to zero; the lines between a surge and its dive are kept.  If there i
 are not the main text; if no block surges, the run with the longest text is kept.
 
 Defined cases: null, empty and textless pages give an empty text and 0 characters; unclosed elements end with the
-page, dropped ones also where an article, main, h1 or the footer begins; repeated rows are repeated.
+page, dropped ones also where an article, main, h1 or the footer begins, dropped inline ones also with the element
+around them, a head with the first element that cannot be in it; repeated rows are repeated.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)(
                     r"|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 # Element names of HTML and names that pages use for what is not their main text.
-RAW = frozenset("script style noscript template textarea title head iframe object svg math canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 DROPPED = frozenset("nav header footer aside form menu dialog button fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre "
                    "section summary table tbody td tfoot th thead tr ul".split())
 MAIN = frozenset(["article", "main"])
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?" + (r"|(?=<(?:body|article|main)\b)" if name == "title" else ""), re.I)
+         for name in RAW}
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|"
     r"masthead|header|topbar|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|"
@@ -55,33 +59,40 @@ def lines_of(page: str) -> list[Line]:
     text: list[str] = []
     linked = anchors = main = 0
     dropping: list[str] = []  # open elements from the dropped one on
-    raw: str | None = None
+    head, at = False, 0
+
+    def inline() -> bool:
+        """Whether a dropped inline element is open; its text is left out of the line around it."""
+        return bool(dropping) and dropping[0] not in BLOCKS and dropping[0] not in DROPPED
 
     def flush() -> None:
         nonlocal linked
         line = " ".join(characters.unescape("".join(text)).split())
         if line:
-            out.append(Line(line, linked, main > 0, bool(dropping)))
+            out.append(Line(line, linked, main > 0, bool(dropping) and not inline()))
         text.clear()
         linked = 0
 
-    for token in _TOKEN.finditer(page):
+    while at < len(page):
+        token = _TOKEN.match(page, at)
+        at = token.end()
         name = token[2]
         if name is None:
-            if raw is None and not token[0].startswith(("<!", "<?")):
+            if not head and not inline() and not token[0].startswith(("<!", "<?")):
                 text.append(token[0])
                 if anchors:
                     linked += len(token[0].strip())
             continue
         name, closing = name.lower(), bool(token[1])
-        if raw is not None:
-            if (closing and name == raw) or (raw in ("head", "title") and name in ("body", "article", "main")):
-                raw = None
-            else:
-                continue
+        if name == "head":
+            head = not closing and not token[4]
+            continue
+        if head and not closing and name not in HEAD:
+            head = False
         if name in RAW:
             if not closing and not token[4]:
-                raw = name
+                end = _ENDS[name].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if name == "a":
             anchors = 0 if closing else 1
@@ -90,18 +101,29 @@ def lines_of(page: str) -> list[Line]:
             text.append(" ")
             continue
         if name not in BLOCKS and name not in DROPPED:
-            if closing or name in VOID or not _named(token[3]):
+            if name in VOID:
                 if name in ("img", "hr", "input"):
                     text.append(" ")
-                continue
+            elif closing:
+                if name in dropping:
+                    while dropping.pop() != name:
+                        pass
+            elif not token[4] and (name in dropping or _named(token[3])):
+                dropping.append(name)
+            continue
         flush()
         if closing:
             if dropping:
+                block = not inline()
                 if name in dropping:
                     while dropping.pop() != name:
                         pass
-                    if not dropping:
+                    if not dropping and block:
                         out.append(Line("", 0, False, True))
+                elif not block:  # the element around a dropped inline one ends
+                    dropping.clear()
+                    if name in MAIN:
+                        main = max(0, main - 1)
             elif name in MAIN:
                 main = max(0, main - 1)
             continue

@@ -74,6 +74,23 @@ def test_html_without_article_uses_blocks():
     assert html.extract(page) == "A first line of the text that is long enough to be a surge.\n\nThen.\n\nAnd more of it."
 
 
+@pytest.mark.parametrize("inside", [
+    "<script>for(i=0;i<n;i++)f(i)</script>", "<script>var a = '<!--';</script>",
+    '<p>Some <span class="tag">no</span></p>', '<p>Some <b class="ad">no <b>no</b> no</b></p>',
+    '<p>Some <i class="share-icon">no</p>', "<style>a > b {}</style>"])
+def test_html_goes_on_after(inside):
+    page = f"<html><body><article><p>The first.</p>{inside}<p>The last.</p></article></body></html>"
+    some = "Some\n\n" if "Some" in inside else ""
+    assert html.extract(page) == f"The first.\n\n{some}The last."
+
+
+def test_html_inline_and_head():
+    page = '<div>A line of text <b class="ad">buy</b> that is long enough to be a surge.</div>'
+    assert html.extract(page) == "A line of text that is long enough to be a surge."
+    page = "<head><title>No</title><div>A line of text that is long enough to be a surge.</div>"
+    assert html.extract(page) == "A line of text that is long enough to be a surge."
+
+
 def test_html_rows(spark):
     rows = [(1, None, "u"), (2, "", "u"), (3, PAGE, "u"), (3, PAGE, "u"), (4, "<p>" + "long " * 50000, "u"), (5, "<div class='ad'>x", "u")]
     frame = spark.createDataFrame(rows, "page_id long, html string, text string")
