@@ -5,7 +5,8 @@ last returns the mix, one row for each document in it: how often its text is rep
 first words follow once more.
 
 Defined cases, beside those of each operator: other columns of the documents go through unchanged whatever their
-names; documents without text are rejected by the quality stage; of repeated rows with one id and text the
+names; documents without text are rejected by the quality stage, those without a
+letter by the language stage, also when no language can be learned; of repeated rows with one id and text the
 near-duplicate stage keeps one; documents without id are never near duplicates; an empty table stays empty.
 """
 
@@ -34,8 +35,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = language.identify(packed(docs, "text"), language.train(docs))
-    return told.where(~language.rejected()).select("__row.*")
+    filters = language.train(docs)
+    if not filters.langs:  # nothing learned, nothing to tell by
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = language.identify(packed(docs, "text", "lang"), filters)
+    return told.where(~language.rejected(language.least_score(told))).select("__row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,15 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_unknown_languages(spark):
+    words = "the house stands near a river and people walk along its green bank every morning".split()
+    rows = [(k, " ".join(words[(k + j * 3) % len(words)] for j in range(12)), "en", "s", 0, 7) for k in range(40)]
+    rows += [(100, "кот спит на окне и видит сны", None, "s", 0, 7), (101, "xqzv kjwq zzxq vvkq qxjz wqkz the", None, "s", 0, 7),
+             (102, "12 34 !", None, "s", 0, 7), (103, rows[0][1], None, "s", 0, 7)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert kept == {*range(40), 103}
+    none = docs.drop("lang").selectExpr("doc_id", "text", "cast(null as string) lang")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, none, "").collect()} == {*range(40), 100, 101, 103}
