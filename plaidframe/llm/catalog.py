@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, mixing, neardup, nearest, ppm, quality, urls
+from . import chat, decontaminate, html, language, manifest, mixing, neardup, nearest, ppm, quality, urls, whiten
 from .common import read, remainder
 from .oracle import SQL
 
@@ -73,6 +73,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.train(docs, labels)[1]
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest.audited(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -84,4 +93,6 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op11_whiten": op11_whiten,
+    "op13_manifest": op13_manifest,
 }

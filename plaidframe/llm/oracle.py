@@ -128,4 +128,63 @@ judged as (
 select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from judged
 """
 
-SQL = {"op1_decontaminate": OP1, "op2_mix": OP2, "op5_neardup": OP5, "op8_chat": OP8, "op9_urls": OP9}
+def merkle(levels: int = 5) -> str:
+    """Manifest of documents by one statement a level: 16 ** levels leaves a source, and sources, at most."""
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lowered = lower("text")
+    crc = ("xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)), "
+           "lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+           "lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)), 4294967295)")
+
+    def tree(name: str, parts: str) -> str:
+        out = []
+        for k in range(levels):
+            run = f"partition by {parts}, pos // 16 order by pos rows between"
+            out.append(f"""{name}p{k} as (select {parts}, pos, cnt,
+              coalesce(string_agg(digest, '') over ({run} unbounded preceding and 1 preceding), '') as b{k},
+              coalesce(string_agg(digest, '') over ({run} 1 following and unbounded following), '') as a{k} from {name}{k}),
+            {name}{k + 1} as (select {parts}, pos // 16 as pos, (any_value(cnt) + 15) // 16 as cnt,
+              case when any_value(cnt) > 1 then sha256(string_agg(digest, '' order by pos)) else any_value(digest) end as digest
+              from {name}{k} group by {parts}, pos // 16)""")
+        return ",\n".join(out)
+
+    def joins(name: str, rank: str, parts: str) -> str:
+        return " ".join(f"join {name}p{k} {name}_{k} on {name}_{k}.{parts} = f.{parts} and {name}_{k}.pos = f.{rank} // {16 ** k}"
+                        for k in range(levels))
+
+    proof = [f"case when {n}_{k}.cnt > 1 then {n}_{k}.b{k} || {n}_{k}.a{k} else '' end" for n in "xy" for k in range(levels)]
+    steps = []  # each fold is a column of its own: nested, its text would double with every level
+    before, value = "f", "copy"
+    for name in "xy":
+        for k in range(levels):
+            step = f"n{name}{k}"
+            steps.append(f"{step} as (select p.*, case when cnt_{name}{k} > 1 then sha256(b_{name}{k} || {value} || a_{name}{k}) "
+                         f"else {value} end as {step} from {before} p)")
+            before, value = step, step
+    columns = ", ".join(f"{n}_{k}.cnt as cnt_{n}{k}, {n}_{k}.b{k} as b_{n}{k}, {n}_{k}.a{k} as a_{n}{k}" for n in "xy" for k in range(levels))
+    return f"""
+with leaves as (
+  select doc_id, case when source is null then '0' else '1' || source end as s, {leaf("text")} as leaf,
+         case when {crc} % 5 = 0 then {leaf(lowered)} end as bad from documents),
+ranked as (
+  select *, row_number() over (partition by s order by doc_id nulls first, leaf) - 1 as pos,
+         count(*) over (partition by s) as cnt from leaves),
+x0 as (select s, pos, cnt, leaf as digest from ranked),
+{tree("x", "s")},
+subroots as (select s, digest, row_number() over (order by s) - 1 as pos, count(*) over () as cnt, 0 as g from x{levels}),
+y0 as (select g, pos, cnt, digest from subroots),
+{tree("y", "g")},
+places as (select r.doc_id, r.leaf, coalesce(r.bad, r.leaf) as copy, r.s, r.pos as rank, t.digest as subroot, t.pos as place, 0 as g
+           from ranked r join subroots t on t.s = r.s),
+f as (select f.*, {columns}, sha256({" || ".join(proof)}) as proof_sha256
+      from places f {joins("x", "rank", "s")} {joins("y", "place", "g")}),
+{", ".join(steps)}
+select doc_id, leaf, subroot, (select digest from y{levels}) as root, proof_sha256, {value} as folded_root,
+       {value} = (select digest from y{levels}) as verified
+from {before}
+"""
+
+
+SQL = {"op1_decontaminate": OP1, "op2_mix": OP2, "op5_neardup": OP5, "op8_chat": OP8, "op9_urls": OP9,
+       "op13_manifest": merkle()}
