@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, manifest, mixing, neardup, nearest, ppm, quality, urls, whiten
+from . import chat, decontaminate, html, language, manifest, mixing, neardup, nearest, ppm, quality, suffixes, urls, whiten
 from .common import read, remainder
 from .oracle import SQL
 
@@ -77,6 +77,10 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeats_removed(read(spark, sf_dir, "documents")))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = manifest.audited(read(spark, sf_dir, "documents"))
     return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -94,5 +98,6 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
     "op11_whiten": op11_whiten,
+    "op12_suffixes": op12_suffixes,
     "op13_manifest": op13_manifest,
 }

@@ -1,13 +1,15 @@
 """Whitening and manifest against brute force, on awkward rows and with small blocks."""
 
+import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plaidframe.llm import manifest, whiten
+from plaidframe.llm import manifest, suffixes, whiten
 
 
 # whitening
@@ -128,3 +130,67 @@ def test_fold_finds_any_changed_leaf(spark):
                                                    F.lit("s").alias("source"), F.lit(1).alias("n_chars")), 4, 2)
     assert made.where(manifest.fold(F.reverse("leaf")) == F.col("root")).count() == 0
     assert made.where(manifest.fold(F.col("leaf")) == F.col("root")).count() == 40
+
+
+# repeated byte strings
+
+def brute_repeats(texts, length):
+    """n_bytes, n_removed, n_spans and hash of the kept bytes of each text."""
+    raws = [(t or "").encode() for t in texts]
+    seen = collections.Counter(r[i:i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r) + 1, bool)
+        for i in range(len(r) - length + 1):
+            if seen[r[i:i + length]] > 1:
+                gone[i:i + length] = True
+        spans = int((gone[:-1] & ~np.r_[False, gone[:-2]]).sum()) if r else 0
+        kept = bytes(b for b, g in zip(r, gone) if not g)
+        out.append((len(r), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_windows_of_small_collections():
+    rng = random.Random(4)
+    for _ in range(200):
+        length = rng.choice([3, 7, 20])
+        strings = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 70))) for _ in range(rng.randint(1, 12))})
+        copies = np.array([rng.choice([1, 1, 2]) for _ in strings])
+        seen = collections.Counter()
+        for s, m in zip(strings, copies):
+            seen.update({w: n * int(m) for w, n in collections.Counter(s[i:i + length] for i in range(len(s) - length + 1)).items()})
+        want = [[i for i in range(len(s) - length + 1) if seen[s[i:i + length]] > 1] for s in strings]
+        assert [f.tolist() for f in suffixes.repeated_windows(strings, copies, length)] == want
+
+
+@pytest.mark.parametrize("length,anchor,crowd", [(40, 12, 20_000), (40, 12, 2), (200, 64, 20_000)])
+def test_repeats_against_brute_force(spark, monkeypatch, length, anchor, crowd):
+    rng = random.Random(length)
+    words = ["alpha", "bé", "日本", "gamma,", "x", "Delta"]
+    prose = lambda n: " ".join(rng.choice(words) + str(rng.randint(0, 99)) for _ in range(n))
+    passage, line = prose(60), prose(9) + "\n"
+    texts = [prose(rng.randint(0, 120)) for _ in range(20)]
+    texts += [prose(5) + passage + prose(rng.randint(0, 9)) for _ in range(30)]  # one passage, different neighbours
+    texts += [texts[3], texts[3], texts[25], texts[3][:-1], "é" * 300, "ab" * 500, "=" * 400, line * 30, "", None, "short", "\x00" * 250]
+    texts += [passage[:length], passage[1:length], prose(30_000) + passage + prose(20)]
+    docs = spark.createDataFrame([(k % 50 if k % 9 else None, t, "l", "s", 1, "r", "t") for k, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, t1 string, key string")
+    if crowd == 2:
+        monkeypatch.setattr(suffixes, "SHARE", 4)
+        monkeypatch.setattr(suffixes, "CROWDS", 1 << 40)
+    got = suffixes.digest(suffixes.repeats_removed(docs, length=length, anchor=anchor, crowd=crowd)).collect()
+    order = lambda r: tuple((v is not None, v) for v in r)
+    want = [(k % 50 if k % 9 else None, *b) for k, b in enumerate(brute_repeats(texts, length))]
+    assert sorted((tuple(r) for r in got), key=order) == sorted(want, key=order)
+    assert sum(r.n_removed for r in got) > 0
+
+
+def test_repeats_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert suffixes.digest(suffixes.repeats_removed(docs)).count() == 0
+
+
+def test_removed_runs_and_kept_bytes(spark):
+    docs = spark.createDataFrame([(1, "a" * 5 + "0123456789" * 3), (2, "0123456789" * 3 + "z")], "doc_id long, text string")
+    rows = sorted(suffixes.repeats_removed(docs, length=25, anchor=10).collect())
+    assert [(r.removed[0].first, r.removed[0].end, bytes(r.kept)) for r in rows] == [(5, 35, b"aaaaa"), (0, 30, b"z")]
