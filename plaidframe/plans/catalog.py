@@ -427,12 +427,13 @@ def zero_candidates_trans(d):
 
 @query
 def zero_sample_keyed(d):
-    return zeros.sample_zeros(d.pixels(), d.bins(), d.genome, ZERO_SAMPLE, ZERO_SEED, enumerate_all=True)
+    return zeros.sample_zeros(d.pixels(), d.bins(), d.genome, ZERO_SAMPLE, ZERO_SEED)
 
 
 @query
 def zero_sample_drawn(d):
-    return zeros.sample_zeros(d.pixels(), d.bins(), d.genome, ZERO_SAMPLE, ZERO_SEED, enumerate_all=False)
+    """Zeros between chromosomes."""
+    return zeros.sample_zeros(d.pixels(), d.bins(), d.genome, ZERO_SAMPLE, ZERO_SEED + 1, "trans")
 
 
 # --- likelihood ------------------------------------------------------------------
@@ -459,8 +460,7 @@ def weighted_cells(d: ContactData) -> DataFrame:
     """Stored pixels plus the keyed sample of zeros with their multiplicity."""
     pixels, bins = cut(d.pixels()), cut(d.bins())
     total = zeros.total_zeros(pixels, bins, d.genome)
-    sample = cut(zeros.sample_zeros(pixels, bins, d.genome, ZERO_SAMPLE, ZERO_SEED, enumerate_all=True,
-                                    total=total))
+    sample = cut(zeros.sample_zeros(pixels, bins, d.genome, ZERO_SAMPLE, ZERO_SEED, total=total))
     return frames.with_zeros(pixels, sample, total, min(ZERO_SAMPLE, total))
 
 

@@ -7,7 +7,7 @@ digits of the Spark query; ``+ 0.0`` turns a negative zero into zero.
 from __future__ import annotations
 
 BASE = """
-with sizes as (
+with recursive sizes as (
   select greatest(1, (parts + vectors - 1) // vectors) as width,
          (parts - 1) // greatest(1, (parts + vectors - 1) // vectors) + 1 as n,
          vectors, orders
@@ -92,11 +92,28 @@ normed as (
   from cells join diag_means on bin2_id - bin1_id = d where bin1_id < bin2_id)
 """
 
+def drawn_zeros(name: str, seed: int, n: int, which: str) -> str:
+    """CTEs of a sample: numbers of the zeros row by row and the keyed permutation of 0..n-1."""
+    square = "('0x' || substr(md5(concat_ws(':', '{seed}', r, {x})), 1, 13))::bigint"
+    moved = (f"case when r % 2 = 0 then ((v // cols + {square.format(seed=seed, x='v % cols')}) % rws) * cols + v % cols "
+             f"else (v // cols) * cols + (v % cols + {square.format(seed=seed, x='v // cols')}) % cols end")
+    shuffled = "list_reduce(list_concat([{v}], range(0, 8)), lambda v, r: " + moved + ")"
+    return f"""
+{name}_all as (select bin1_id, bin2_id, row_number() over (order by bin1_id, bin2_id) - 1 as number from zeros where {which}),
+{name}_size as (
+  select z, rws, (z + rws - 1) // rws as cols
+  from (select z, cast(floor(sqrt(greatest(z, 1) - 1)) as bigint) + 1 as rws from (select count(*) as z from {name}_all))),
+{name}_walk(k, v) as (
+  select k, {shuffled.format(v='k')} from (select unnest(range(0, least({n}, z))) as k, rws, cols, z from {name}_size)
+  union all select k, {shuffled.format(v='v')} from {name}_walk, {name}_size where v >= z),
+{name} as (select bin1_id, bin2_id from {name}_all join {name}_walk on number = v)"""
+
+
 ZEROS = """,
 cand as (select a.bin_id as bin1_id, b.bin_id as bin2_id, a.chrom_idx as c1, b.chrom_idx as c2
          from good a join good b on a.bin_id <= b.bin_id),
 zeros as (select c.* from cand c anti join pixels p on c.bin1_id = p.bin1_id and c.bin2_id = p.bin2_id),
-zsample as (select bin1_id, bin2_id from zeros order by md5(concat_ws(':', '7', bin1_id, bin2_id)) limit 1000),
+""" + drawn_zeros("zsample", 7, 1000, "true") + "," + drawn_zeros("ztrans", 8, 1000, "c1 <> c2") + """,
 weighted as (
   select t.*, p.count::double as x, 1.0::double as times from terms t join pixels p using (bin1_id, bin2_id)
   union all
@@ -375,6 +392,7 @@ add("zero_counts_trans", ZEROS + "select g.bin_id, count(z.bin2_id) as zeros fro
 add("zero_candidates_both", ZEROS + "select bin1_id, bin2_id from zeros")
 add("zero_candidates_trans", ZEROS + "select bin1_id, bin2_id from zeros where c1 <> c2")
 add("zero_sample_keyed", ZEROS + "select bin1_id, bin2_id from zsample")
+add("zero_sample_drawn", ZEROS + "select bin1_id, bin2_id from ztrans")
 
 add("dense_log_likelihood", ALL_PAIRS + f"select {rnd('sum(case when x > 0 then x * (ln(g) + ln_decay_r) end) - sum(x) * ln(sum(mr))', 3)} "
     f"as log_likelihood, {rnd('ln(sum(mr))', 9)} as ln_z from allp")

@@ -11,6 +11,7 @@ from plaidframe.functions.columns import int_div, safe_div
 from plaidframe.functions.numerics import exact_sum, float_sum, log_sum_exp
 from plaidframe.functions.parse import key_values, number
 from plaidframe.genome import Genome
+from plaidframe.functions.permutation import permuted
 from plaidframe.operators import balance, clean, compare, distance, ordered, pairs, reshape, sampling, select, zeros
 
 GENOME = Genome(("chr1", "chr2", "chrX"), (7, 5, 4))
@@ -247,23 +248,53 @@ def test_zero_cases(spark):
     assert collect(got, "bin1_id", "bin2_id") == [(1, 2), (1, 3), (1, 4), (2, 4), (3, 4)]
 
 
-@pytest.mark.parametrize("enumerate_all", [True, False])
+@pytest.mark.parametrize("diagonal", [True, False])
 @pytest.mark.parametrize("area", ["both", "trans"])
-def test_zero_sample_is_distinct_and_unbiased(spark, enumerate_all, area):
+def test_zero_sample_is_distinct_and_unbiased(spark, area, diagonal):
     cells = random_cells(count=80, hot=3)
     stored = pixels_frame(spark, [(i, j, v) for (i, j), v in cells.items()])
     bins = bins_frame(spark, GENOME, [k != 6 for k in range(16)])
-    every = set(collect(zeros.zero_candidates(stored, bins, GENOME, area), "bin1_id", "bin2_id"))
-    counts = zeros.zero_counts(stored, bins, GENOME, area)
+    every = collect(zeros.zero_candidates(stored, bins, GENOME, area, diagonal), "bin1_id", "bin2_id")
+    counts = zeros.zero_counts(stored, bins, GENOME, area, diagonal)
     assert counts.agg(F.sum("zeros")).first()[0] == len(every)
     seen = {}
     n = len(every) // 4
     for seed in range(4):
-        got = collect(zeros.sample_zeros(stored, bins, GENOME, n, seed, area, enumerate_all=enumerate_all), "bin1_id", "bin2_id")
-        assert len(got) == len(set(got)) == n and set(got) <= every
+        got = collect(zeros.sample_zeros(stored, bins, GENOME, n, seed, area, diagonal), "bin1_id", "bin2_id")
+        assert len(got) == len(set(got)) == n and set(got) <= set(every)
         for cell in got:
             seen[cell] = seen.get(cell, 0) + 1
     assert len(seen) > n  # different seeds give different cells
+    # every number leads to its cell, in blocks and ranges of any size
+    numbers = spark.range(len(every)).withColumnRenamed("id", "number")
+    for block, width in ((3, 5), (4096, None)):
+        found = zeros.zeros_by_number(numbers, stored, bins, GENOME, len(every), area, diagonal, block, width)
+        assert [(r.bin1_id, r.bin2_id) for r in found.orderBy("number").collect()] == sorted(every)
+
+
+def test_zeros_among_full_rows(spark):
+    """Rows without zeros, and runs of stored cells, share their number with what follows."""
+    n = 12
+    full = {(i, j) for i in range(n) for j in range(i, n) if i in (0, 3, 4, 11) or 5 <= j < 9}
+    stored, bins, genome = pixels_frame(spark, [(i, j, 1) for i, j in full]), bins_frame(spark, Genome.single(n)), Genome.single(n)
+    every = [(i, j) for i in range(n) for j in range(i, n) if (i, j) not in full]
+    got = zeros.sample_zeros(stored, bins, genome, len(every), block=4)
+    assert collect(got, "bin1_id", "bin2_id") == every
+    assert zeros.sample_zeros(stored, bins, genome, 0).count() == 0
+    whole = pixels_frame(spark, [(i, j, 1) for i in range(n) for j in range(i, n)])
+    assert zeros.sample_zeros(whole, bins, genome, 5).count() == 0
+    smaller = set(collect(zeros.sample_zeros(stored, bins, genome, 9, seed=2), "bin1_id", "bin2_id"))
+    assert smaller < set(collect(zeros.sample_zeros(stored, bins, genome, 20, seed=2), "bin1_id", "bin2_id"))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 16, 17, 1000, 1023])
+def test_permutation_is_one_to_one(spark, size):
+    made = [spark.range(size).select(permuted(F.col("id"), size, seed).alias("v")).toPandas().v.tolist() for seed in (1, 2)]
+    assert sorted(made[0]) == sorted(made[1]) == list(range(size))
+    if size >= 1000:
+        assert made[0] != made[1] and abs(np.corrcoef(made[0], range(size))[0, 1]) < 0.1
+        ends = np.bincount(np.array(made[0][:size // 2]) * 10 // size, minlength=10)
+        assert ends.min() > size // 20 * 0.6  # a part of the numbers is spread over all places
 
 
 def test_thinning_is_exact_and_repeatable(spark):
