@@ -319,7 +319,10 @@ def cut_out(batch: pa.RecordBatch, length: int, anchor: int, crowded: Crowded) -
 
 
 def listed_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """Texts with their segments among ``places``."""
+    """Texts with their segments among ``places``.
+
+    All columns of ``texts`` stay, so that every join by ``t1`` takes the same exchange of the texts.
+    """
     lists = places.groupBy("t1").agg(F.collect_set(F.struct("key", "span")).alias("listed"))
     return texts.join(lists, "t1").select(F.encode("text", "utf-8").alias("text"), "t2", "listed", "t1", "id")
 
@@ -365,7 +368,7 @@ def collections(listed: DataFrame, length: int, anchor: int, crowded: Crowded) -
         if held:
             yield flush(held)
 
-    return listed.select("text", "t2", "listed").mapInArrow(run, "key long, content binary, copies long")
+    return listed.mapInArrow(run, "key long, content binary, copies long")
 
 
 def occurrences(listed: DataFrame, length: int, anchor: int, crowded: Crowded) -> DataFrame:
@@ -380,8 +383,7 @@ def occurrences(listed: DataFrame, length: int, anchor: int, crowded: Crowded) -
                 pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), batch.column(3).take(rows), batch.column(1).take(rows),
                 pa.array(at, pa.int64())], names=["key", "content_hash", "t1", "t2", "first"])
 
-    return (listed.select("text", "t2", "listed", "t1")
-            .mapInArrow(run, "key long, content_hash long, t1 long, t2 long, first long"))
+    return listed.mapInArrow(run, "key long, content_hash long, t1 long, t2 long, first long")
 
 
 def covered(starts: np.ndarray, length: int) -> np.ndarray:
