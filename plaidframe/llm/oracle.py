@@ -186,5 +186,25 @@ from {before}
 """
 
 
+OP12 = """
+with docs as materialized (
+  select row_number() over () as rid, doc_id, encode(coalesce(text, '')) as raw, hex(encode(coalesce(text, ''))) as h,
+         strlen(coalesce(text, '')) as n from documents),
+places as (select rid, raw, unnest(range(0, n - 199)) as i from docs where n >= 200),
+windows as materialized (select rid, i, md5_number(raw[i + 1:i + 200]) as w from places),
+again as (select w from windows group by w having count(*) > 1),
+starts as (select rid, i, i - lag(i) over (partition by rid order by i) as gap from windows semi join again using (w)),
+islands as (select rid, i, sum(case when gap <= 200 then 0 else 1 end) over (partition by rid order by i) as k from starts),
+runs as materialized (select rid, k, min(i) as a, max(i) + 200 as b from islands group by rid, k),
+pieces as (
+  select rid, coalesce(lag(b) over (partition by rid order by a), 0) as a, a as b from runs
+  union all select rid, max(b), any_value(n) from runs join docs using (rid) group by rid),
+kept as (select rid, string_agg(h[2 * a + 1:2 * b], '' order by a) as h from pieces join docs using (rid) group by rid),
+sums as (select rid, sum(b - a) as n_removed, count(*) as n_spans from runs group by rid)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept.h, docs.h))) as kept_sha256
+from docs left join sums using (rid) left join kept using (rid)
+"""
+
 SQL = {"op1_decontaminate": OP1, "op2_mix": OP2, "op5_neardup": OP5, "op8_chat": OP8, "op9_urls": OP9,
-       "op13_manifest": merkle()}
+       "op12_suffixes": OP12, "op13_manifest": merkle()}
