@@ -415,13 +415,45 @@ select {rnd('(select count(*) from states) * (select sum(abs(d0) + abs(d1) + abs
 add("difference_gram", STEPS + " union all ".join(
     f"select {s} as s1, {t} as s2, {rnd(f'sum(d{s} * d{t})', 7)} as g from steps" for s in range(3) for t in range(3)))
 
-THINNED = """,
-reads as (select bin1_id, bin2_id, unnest(range(count)) as read from pixels where bin1_id < bin2_id),
-kept as (select * from reads order by md5(concat_ws(':', '3', bin1_id, bin2_id, read))
-         limit (select cast(floor(count(*) * 0.3::double) as bigint) from reads))
-"""
+def split_tree(name: str, source: str, n: str, seed: int, law: str, height: int = 24) -> str:
+    """CTEs of a keyed draw by a splitting tree: ``name`` is (bin1_id, bin2_id, count), one step a level."""
+    low, high, above, under = {
+        "hypergeometric": ("greatest(0, quota - b)", "least(quota, a)", "(a - k + 1)::double * (quota - k + 1)", "k::double * (b - quota + k)"),
+        "binomial": ("0", "quota", "(quota - k + 1) * a", "k * b")}[law]
+    kind = "bigint" if law == "hypergeometric" else "double"
+    steps = [f"""
+{name}_cells as materialized (
+  select bin1_id, bin2_id, amt, row_number() over (order by bin1_id, bin2_id) - 1 as number from ({source}) where amt > 0),
+{name}_q{height} as materialized (select 0::bigint as idx, {n} as quota)"""]
+    for h in range(height, 0, -1):
+        steps.append(f"""
+{name}_s{h} as materialized (select number >> {h - 1} as idx, cast(sum(amt) as {kind}) as amt from {name}_cells group by 1),
+{name}_n{h} as materialized (
+  select q.idx, quota, coalesce(l.amt, 0) as a, coalesce(r.amt, 0) as b,
+         cast('0x' || substr(md5(concat_ws(':', '{seed}', '{h}', q.idx)), 1, 13) as bigint) / 4503599627370496.0::double as u
+  from {name}_q{h} q left join {name}_s{h} l on l.idx = 2 * q.idx left join {name}_s{h} r on r.idx = 2 * q.idx + 1 where quota > 0),
+{name}_k{h} as (
+  select idx, quota, a, b, u, {low} as low, unnest(range({low}, {high} + 1)) as k from {name}_n{h} where a > 0 and b > 0),
+{name}_l{h} as (
+  select idx, u, k, sum(case when k > low then ln({above}) - ln({under}) else 0.0 end) over (partition by idx order by k) as lnp from {name}_k{h}),
+{name}_w{h} as (select idx, u, k, exp(lnp - max(lnp) over (partition by idx)) as w from {name}_l{h}),
+{name}_c{h} as (select idx, u, k, sum(w) over (partition by idx order by k) as c, sum(w) over (partition by idx) as t from {name}_w{h}),
+{name}_p{h} as materialized (select idx, min(k) as k from {name}_c{h} where c > u * t group by idx),
+{name}_q{h - 1} as materialized (
+  select 2 * idx as idx, case when b > 0 then coalesce(k, 0) else quota end as quota from {name}_n{h} left join {name}_p{h} using (idx)
+  union all select 2 * idx + 1, quota - case when b > 0 then coalesce(k, 0) else quota end from {name}_n{h} left join {name}_p{h} using (idx))""")
+    steps.append(f"""
+{name} as (select bin1_id, bin2_id, quota::bigint as count from {name}_cells join {name}_q0 on idx = number where quota > 0)""")
+    return ",".join(steps)
+
+
+THINNED = "," + split_tree("thin", "select bin1_id, bin2_id, count as amt from pixels where bin1_id < bin2_id",
+                           "(select cast(floor(sum(count) * 0.3::double) as bigint) from pixels where bin1_id < bin2_id)", 3, "hypergeometric")
 add("downsample_keyed", THINNED + """
-select bin1_id, bin2_id, count(*) as count from kept group by 1, 2""")
+select bin1_id, bin2_id, count from thin""")
+add("resample_multinomial", ALL_PAIRS + "," + split_tree("draws", "select bin1_id, bin2_id, b as amt from model",
+                                                         "(select cast(sum(count) as bigint) from pixels)", 3, "binomial")
+    + " select bin1_id, bin2_id, count from draws")
 add("resample_inverse_cdf", ALL_PAIRS + """,
 total as materialized (select (select sum(b) from model) as mass, (select cast(sum(count) as bigint) from pixels) as n_reads),
 cum as materialized (select bin1_id, bin2_id, coalesce(sum(b) over (order by bin1_id, bin2_id rows between unbounded preceding
@@ -470,7 +502,6 @@ union all select 'data', 'likelihood', {rnd('(ab - ln(tb) * ua) / ta', 7)} from
 union all select 'data', 'lr', {rnd('exp((ab_pos - ln(tb) * ua) / ta - (aa - ln(ta) * ua) / ta)', 7)} from {LIKELIHOOD_SUMS}""")
 add("accuracy_per_chromosome", ALL_PAIRS + f"select c1 as chrom_idx, {rnd('corr(a, b)', 9)} as pearson from model where c1 = c2 group by 1")
 add("accuracy_of_thinned_data", ALL_PAIRS + THINNED + f""",
-thin as (select bin1_id, bin2_id, count(*) as count from kept group by 1, 2),
 side as (select m.bin1_id, m.bin2_id, coalesce(t.count, 0)::double as a, m.b from model m left join thin t using (bin1_id, bin2_id))
 select 0.3::double as rate, 'pearson' as metric, {rnd('corr(a, b)', 8)} as value from side
 union all select 0.3::double, 'lr', {rnd('exp((ab_pos - ln(tb) * ua) / ta - (aa - ln(ta) * ua) / ta)', 8)}

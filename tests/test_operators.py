@@ -12,7 +12,7 @@ from plaidframe.functions.numerics import exact_sum, float_sum, log_sum_exp
 from plaidframe.functions.parse import key_values, number
 from plaidframe.genome import Genome
 from plaidframe.functions.permutation import permuted
-from plaidframe.operators import balance, clean, compare, distance, ordered, pairs, reshape, sampling, select, zeros
+from plaidframe.operators import balance, clean, compare, distance, ordered, pairs, reshape, sampling, select, splitting, zeros
 
 GENOME = Genome(("chr1", "chr2", "chrX"), (7, 5, 4))
 
@@ -322,7 +322,7 @@ def test_multinomial_draws(spark):
                "bin1_id int, bin2_id int, value double")
     n = 20_000
     mass = sum(cells.values())
-    for out in (sampling.multinomial(df, n, seed=1, group_rows=10),
+    for out in (sampling.multinomial(df, n, seed=1),
                 sampling.multinomial_keyed(df, n, 16, seed=1, ranges=5, reads_per_task=1500)):
         got = {(r[0], r[1]): r[2] for r in out.collect()}
         assert sum(got.values()) == n and (0, 15) not in got
@@ -330,6 +330,54 @@ def test_multinomial_draws(spark):
         assert chi2 < len(cells) + 6 * math.sqrt(2 * len(cells))
 
 
+@pytest.mark.parametrize("law,amounts,n", [
+    ("hypergeometric", [3, 0, 1, 7, 2, 2, 900, 4, 1, 1, 1], 300), ("hypergeometric", [2, 5], 7), ("hypergeometric", [4], 2),
+    ("hypergeometric", [6_000_000, 1, 4_000_000, 3], 5_000_000), ("binomial", [0.5, 0.0, 1e-9, 3.0, 2.5], 1000), ("binomial", [1.0, 2.0], 0)])
+def test_splitting_against_plain_recursion(spark, law, amounts, n):
+    """One node after the other, probabilities from log factorials; cut into tasks in several ways."""
+    import hashlib
+
+    def pick(a, b, q, u):
+        if law == "hypergeometric":
+            ks = range(max(0, q - b), min(q, a) + 1)
+            lg = math.lgamma
+            logs = [lg(a + 1) - lg(k + 1) - lg(a - k + 1) + lg(b + 1) - lg(q - k + 1) - lg(b - q + k + 1) for k in ks]
+        else:
+            ks = range(q + 1)
+            logs = [-math.lgamma(k + 1) - math.lgamma(q - k + 1) + k * math.log(a) + (q - k) * math.log(b) for k in ks]
+        weights = np.exp(np.array(logs) - max(logs))
+        return ks[int(np.searchsorted(np.cumsum(weights), u * weights.sum(), side="right"))]
+
+    def walk(part, q, h, i):
+        if h == 0 or q == 0:
+            return {i << h: q} if q else {}
+        half = 1 << (h - 1)
+        a, b = sum(part[:half]), sum(part[half:])
+        u = int(hashlib.md5(f"5:{h}:{i}".encode()).hexdigest()[:13], 16) / 16 ** 13
+        left = q if not b else 0 if not a else pick(a, b, q, u)
+        return {**walk(part[:half], left, h - 1, 2 * i), **walk(part[half:], q - left, h - 1, 2 * i + 1)}
+
+    used = [(k, v) for k, v in enumerate(amounts) if v > 0]
+    want = walk([v for _, v in used] + [0] * (16 - len(used)), n, 4, 0)
+    df = frame(spark, [(k // 4, 5 + k % 4, v) for k, v in enumerate(amounts)],
+               f"bin1_id int, bin2_id int, amount {'long' if law == 'hypergeometric' else 'double'}")
+    for bits in (1, 2, 16):
+        out = splitting.drawn(df.repartition(3), "amount", n, getattr(splitting, law), 5, bits=bits)
+        assert {(r[0], r[1]): r[2] for r in out.collect()} == {(used[k][0] // 4, 5 + used[k][0] % 4): q for k, q in want.items()}
+
+
+def test_quantiles_have_the_law(spark):
+    u = (np.arange(4000) + 0.5) / 4000
+    full = lambda x, kind=np.int64: np.full(4000, x, kind)
+    for a, b, n in ((40, 60, 30), (5_000_000, 7_000_000, 6_000_000), (1, 9, 3)):
+        k = splitting.quantiles(splitting.hypergeometric, full(a), full(b), full(n), u)
+        assert abs(k.mean() - n * a / (a + b)) < 0.02 + 1e-5 * n
+        spread = math.sqrt(n * a / (a + b) * b / (a + b) * (a + b - n) / (a + b - 1))
+        assert k.std() == pytest.approx(spread, rel=0.02, abs=0.05) and (np.diff(k) >= 0).all()
+    k = splitting.quantiles(splitting.binomial, full(1.0, float), full(3.0, float), full(10_000), u)
+    assert abs(k.mean() - 2500) < 0.5 and k.std() == pytest.approx(math.sqrt(1875), rel=0.01)
+
+
 def test_keyed_multinomial_equals_plain_inversion(spark):
     import hashlib
     cells = sorted(random_cells().items())
