@@ -107,6 +107,31 @@ def running_ranges(df: DataFrame, group: str, order: str, amount: Column, out: s
             .drop("__amount", "__before"))
 
 
+def last_before(marks: DataFrame, wanted: DataFrame, position: str, piece: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """``wanted`` with the ``state`` of the last of ``marks`` at or before each row's ``position``, as ``last``.
+
+    A merge instead of a range join.  States must not fall along the positions, so the largest is the last.
+    ``piece`` is an expression over ``position`` that does not fall either; it cuts each of the ``keys`` into
+    pieces that are merged apart.  A piece gets the last state of the pieces before it from a table with one
+    row a piece.
+    """
+    rest = [c for c in wanted.columns if c != position and c not in keys]
+    rows = wanted.select(*keys, position, F.struct(*rest, F.lit(True).alias("__wanted")).alias("__row"))
+    kind = rows.schema["__row"].dataType
+    both = (marks.select(*keys, position, "state", F.lit(None).cast(kind).alias("__row"))
+            .unionByName(rows.withColumn("state", F.lit(None).cast(marks.schema["state"].dataType)))
+            .withColumn("__piece", piece))
+    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (both.groupBy(*keys, "__piece").agg(F.max("state").alias("__end"))
+               .select(*keys, "__piece", F.max("__end").over(earlier).alias("__carried")))
+    upto = (Window.partitionBy(*keys, "__piece").orderBy(position, F.col("__row").isNotNull())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = both.join(carried, [*keys, "__piece"]).withColumn(
+        "last", F.coalesce(F.max("state").over(upto), F.col("__carried")))
+    return (merged.where(F.col("__row").isNotNull())
+            .select(*keys, position, *[F.col("__row")[c].alias(c) for c in rest], "last"))
+
+
 def smallest_by_key(df: DataFrame, key: str, n: int, total: int | None = None, digits: int = 3,
                     border_rows: int = 1_000_000) -> DataFrame:
     """Exactly the ``n`` rows with the smallest hexadecimal ``key``.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import int_div, safe_div, safe_log, share, share_by
 from ..functions.numerics import exact_sum, log_sum_exp
 from ..genome import Genome
-from ..model import frames, generate, regularise
+from ..model import frames, generate, moments, regularise
 from ..model.fit import fit_decay, fit_dense, fit_sparse
 from ..model.mass import Model
 from ..model.params import state_order
@@ -514,7 +514,7 @@ def downsample_keyed(d):
 @query
 def resample_inverse_cdf(d):
     total = int(d.pixels().agg(F.sum("count")).first()[0])
-    return sampling.multinomial_keyed(matrix(d).values(), total, d.n_bins, seed=THIN_SEED)
+    return sampling.multinomial_keyed(matrix(d).values(), total, seed=THIN_SEED)
 
 
 @query
@@ -538,7 +538,8 @@ def against_model(d: ContactData) -> DataFrame:
 
 @query
 def pearson_data_model(d):
-    return compare.pearson(against_model(d)).select(r("pearson", 9).alias("pearson"))
+    sums = moments.moments(model(d, RESOLUTION), d.pixels())
+    return sums.select(r(moments.pearson(), 9).alias("pearson"))
 
 
 @query
@@ -557,18 +558,20 @@ def pearson_replicates(d):
 
 @query
 def fit_likelihood(d):
-    return compare.fit_likelihood(against_model(d)).select(r("likelihood", 9).alias("likelihood"))
+    sums = moments.moments(model(d, RESOLUTION), d.pixels())
+    return sums.select(r(moments.fit_likelihood(), 9).alias("likelihood"))
 
 
 @query
 def likelihood_ratio(d):
-    return compare.likelihood_ratio(against_model(d)).select(r("likelihood_ratio", 9).alias("likelihood_ratio"))
+    sums = moments.moments(model(d, RESOLUTION), d.pixels())
+    return sums.select(r(moments.likelihood_ratio(), 9).alias("likelihood_ratio"))
 
 
 @query
 def likelihood_ratio_single_cell(d):
-    return (compare.likelihood_ratio(against_model(d), model_only=True)
-            .select(r("likelihood_ratio", 9).alias("likelihood_ratio")))
+    sums = moments.moments(model(d, RESOLUTION), d.pixels())
+    return sums.select(r(moments.likelihood_ratio(), 9).alias("likelihood_ratio"))
 
 
 @query
@@ -582,10 +585,7 @@ def lambda_diff_min_permutation(d):
 
 @query
 def parametric_normalisation(d):
-    fitted = matrix(d).normalised()
-    base = distance.distance_normalised_dense(fitted)
-    sample = d.pixels().select("bin1_id", "bin2_id", F.col("count").cast("double").alias("value"))
-    out = compare.parametric_normalised(sample, base)
+    out = moments.parametric_normalised(model(d, RESOLUTION), d.pixels())
     return out.select("bin1_id", "bin2_id", r("parametric", 6).alias("parametric"))
 
 
@@ -598,18 +598,16 @@ def accuracy_table(d):
 
 @query
 def accuracy_per_chromosome(d):
-    cells = against_model(d)
-    cis = cells.where(d.genome.same_chrom(F.col("bin1_id"), F.col("bin2_id")))
-    keyed = cis.withColumn("chrom_idx", d.genome.chrom_of(F.col("bin1_id")))
-    return compare.pearson(keyed, ("chrom_idx",)).select("chrom_idx", r("pearson", 9).alias("pearson"))
+    sums = moments.moments(model(d, RESOLUTION), d.pixels(), by_chrom=True)
+    return sums.select(F.col("scope").alias("chrom_idx"), r(moments.pearson(), 9).alias("pearson"))
 
 
 @query
 def accuracy_of_thinned_data(d):
     """Agreement of the model with a thinned sample of the reads."""
     thin = sampling.downsampled(d.pixels(), THIN_TO, THIN_SEED)
-    cells = cut(compare.beside(matrix(d).normalised(), thin))
-    metrics = {"pearson": compare.pearson(cells), "lr": compare.likelihood_ratio(cells)}
+    sums = cut(moments.moments(model(d, RESOLUTION), thin))
+    metrics = {"pearson": sums.select(moments.pearson()), "lr": sums.select(moments.likelihood_ratio())}
     table = accuracy.long_table(metrics, rate=THIN_TO)
     return table.select("rate", "metric", r("value", 8).alias("value"))
 

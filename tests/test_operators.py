@@ -323,7 +323,7 @@ def test_multinomial_draws(spark):
     n = 20_000
     mass = sum(cells.values())
     for out in (sampling.multinomial(df, n, seed=1),
-                sampling.multinomial_keyed(df, n, 16, seed=1, ranges=5, reads_per_task=1500)):
+                sampling.multinomial_keyed(df, n, seed=1, block=5, reads_per_piece=1500)):
         got = {(r[0], r[1]): r[2] for r in out.collect()}
         assert sum(got.values()) == n and (0, 15) not in got
         chi2 = sum((got.get(c, 0) - n * v / mass) ** 2 / (n * v / mass) for c, v in cells.items())
@@ -388,7 +388,7 @@ def test_keyed_multinomial_equals_plain_inversion(spark):
         u = int(hashlib.md5(f"9:{r}".encode()).hexdigest()[:13], 16) / 16 ** 13 * ends[-1]
         cell = cells[int(np.searchsorted(ends, u, side="right"))][0]
         want[cell] = want.get(cell, 0) + 1
-    out = sampling.multinomial_keyed(df, 3000, 16, seed=9, ranges=4, reads_per_task=700)
+    out = sampling.multinomial_keyed(df, 3000, seed=9, block=4, reads_per_piece=700)
     assert {(r[0], r[1]): r[2] for r in out.collect()} == want
 
 
