@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import int_div, safe_div, safe_log, share, share_by
 from ..functions.numerics import exact_sum, log_sum_exp
 from ..genome import Genome
-from ..model import frames, generate, moments, regularise
+from ..model import frames, generate, moments, ranks, regularise
 from ..model.fit import fit_decay, fit_dense, fit_sparse
 from ..model.mass import Model
 from ..model.params import state_order
@@ -544,7 +544,7 @@ def pearson_data_model(d):
 
 @query
 def spearman_data_model(d):
-    return compare.spearman(against_model(d)).select(r("spearman", 9).alias("spearman"))
+    return ranks.spearman(model(d, RESOLUTION), d.pixels()).select(r("spearman", 9).alias("spearman"))
 
 
 @query

@@ -5,9 +5,10 @@ import math
 import numpy as np
 import pytest
 from conftest import ALPHA, BETA, CIS, STATES, TRANS, model_table, pixels_frame, states_frame
+from pyspark.sql import functions as F
 
 from plaidframe.genome import Genome
-from plaidframe.model import moments
+from plaidframe.model import moments, ranks
 from plaidframe.model.mass import Model
 
 LONG = Genome(("a", "b", "c"), (23, 9, 14))
@@ -70,3 +71,27 @@ def test_moments_without_data(spark):
     row, = moments.moments(model, pixels_frame(spark, [(1, 1, 3.0)]).limit(1)).select(
         "n", "sa", moments.pearson().alias("p"), moments.fit_likelihood().alias("l"), moments.likelihood_ratio().alias("r")).collect()
     assert (row.n, row.sa, row.p, row.l, row.r) == (10, 0, None, None, None)
+
+
+def average_ranks(v):
+    order = np.sort(v)
+    return (np.searchsorted(order, v, side="left") + np.searchsorted(order, v, side="right") + 1) / 2
+
+
+@pytest.mark.parametrize("size,per_range,ties", [(4, 10, False), (256, 1 << 21, False), (8, 40, True)])
+def test_spearman_without_pairs(spark, size, per_range, ties):
+    model, pixels, b, cells = setting(spark, 2, seed=2)
+    if ties:  # two kinds of bins, so very many equal values
+        states = model.states.select("bin_id", F.when(F.col("bin_id") % 3 == 0, F.array(F.lit(0.25), F.lit(0.75)))
+                                     .otherwise(F.array(F.lit(0.5), F.lit(0.5))).alias("probs"))
+        model = Model(states, LONG, CIS[2], TRANS[2], -0.0, BETA)
+        chrom = np.repeat(np.arange(3), LONG.lengths)
+        p = {k: np.array([.25, .75]) if k % 3 == 0 else np.array([.5, .5]) for k in range(LONG.n_bins)}
+        b = {(i, j): (p[i] @ CIS[2] @ p[j]) if chrom[i] == chrom[j] else (p[i] @ TRANS[2] @ p[j]) * math.exp(BETA) for i, j in b}
+    keys = list(b)
+    y = np.round([b[k] for k in keys], 14) if ties else np.array([b[k] for k in keys])
+    x = np.array([cells.get(k, 0.0) for k in keys])
+    want = np.corrcoef(average_ranks(x), average_ranks(y))[0, 1]
+    got = ranks.spearman(model, pixels, size=size, per_range=per_range).first()[0]
+    assert got == pytest.approx(want, abs=1e-9 if not ties else 1e-2)
+    assert ranks.spearman(model, pixels.limit(0), size=size, per_range=per_range).first()[0] is None
