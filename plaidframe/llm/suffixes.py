@@ -51,7 +51,7 @@ RUN = 1024  # windows in a segment at most
 TWICE = 1 << 15  # mark of a segment that holds its key at more than one place
 BATCH = 3 << 19  # bytes of a collection, if the next key begins; so few that places take 21 bits
 HELD = 16 << 20  # bytes of segments a task holds back to find equal ones
-CROWD, CROWDS = 20_000, 4096  # segments that make a key crowded, but no more than so many keys are
+CROWD, CROWDS = 500, 4096  # segments that make a key crowded, but no more than so many keys are
 SAMPLE, SHARE = 256, 26  # segments of a crowded key that are looked at, and how many of them hold a common string
 END = np.uint8(255)  # between strings; no byte of UTF-8
 
@@ -318,12 +318,14 @@ def cut_out(batch: pa.RecordBatch, length: int, anchor: int, crowded: Crowded) -
             yield row, key, first + at, content[at:at + many + length - 1]
 
 
-def listed_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
+def listed_texts(texts: DataFrame, places: DataFrame, few: bool = False) -> DataFrame:
     """Texts with their segments among ``places``.
 
-    All columns of ``texts`` stay, so that every join by ``t1`` takes the same exchange of the texts.
+    All columns of ``texts`` stay, so that every join by ``t1`` takes the same exchange of the texts;
+    ``few`` places (CROWDS * SAMPLE about) go to the texts instead.
     """
     lists = places.groupBy("t1").agg(F.collect_set(F.struct("key", "span")).alias("listed"))
+    lists = F.broadcast(lists) if few else lists
     return texts.join(lists, "t1").select(F.encode("text", "utf-8").alias("text"), "t2", "listed", "t1", "id")
 
 
@@ -342,7 +344,7 @@ def crowds(texts: DataFrame, places: DataFrame, repeated: DataFrame, length: int
                 hashes = np.unique(string_hashes(np.frombuffer(content, np.uint8), anchor) >> np.uint64(1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), key)), pa.array(hashes)], names=["key", "string"])
 
-    common = (listed_texts(texts, some).select("text", "t2", "listed").mapInArrow(run, "key long, string long")
+    common = (listed_texts(texts, some, few=True).select("text", "t2", "listed").mapInArrow(run, "key long, string long")
               .groupBy("key", "string").agg(F.count("*").alias("n")).where(F.col("n") >= SHARE).select("string").distinct())
     return Crowded(frozenset(held), np.sort(np.array([r.string for r in common.collect()], np.uint64)))
 
