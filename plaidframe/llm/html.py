@@ -9,7 +9,10 @@ are not the main text; if no block surges, the run with the longest text is kept
 
 Defined cases: null, empty and textless pages give an empty text and 0 characters; unclosed elements end with the
 page, dropped ones also where an article, main, h1 or the footer begins, dropped inline ones also with the element
-around them, a head with the first element that cannot be in it; repeated rows are repeated.
+around them, a head with the first element that cannot be in it; a tag whose quotes run to the end of the page ends at its next
+bracket, one without any bracket is text; pages of any length are read once, whole; after an article with text
+further articles count only outside dropped elements and not under a dropped name; repeated rows are repeated; of
+other columns those named text and n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ from .common import append
 
 WINDOW = 3
 SURGE = 40
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>"
-                    r"|[^<]+|<", re.S)
+# every alternative is taken or left as a whole, so a token costs one look at its characters
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
+                    r"|[^<]++|<", re.S)
+_BARE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<", re.S)  # quotes mean nothing
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|()()()(?:[^<]++|<)", re.S)  # where no tag can end any more
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 # Element names of HTML and names that pages use for what is not their main text.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
@@ -45,6 +51,9 @@ _NAMES = re.compile(
     r"subscribe\w*|comment\w*|disqus\w*|repl(?:y|ies)|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|"
     r"widget\w*|toolbar|login|signup|search\w*|pagination|pager|tags?|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 
+# The names that drop an element inside a line also beside other names.
+_ADS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|share-icons?|share-buttons?|social\w*)(?:$|[\s_-])", re.I)
+
 
 @dataclass
 class Line:
@@ -66,31 +75,37 @@ def lines_of(page: str) -> list[Line]:
         return bool(dropping) and dropping[0] not in BLOCKS and dropping[0] not in DROPPED
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, seen
         line = " ".join(characters.unescape("".join(text)).split())
         if line:
             out.append(Line(line, linked, main > 0, bool(dropping) and not inline()))
+            seen = seen or (main > 0 and not out[-1].dropped)
         text.clear()
         linked = 0
 
+    last, reader = page.rfind(">"), _TOKEN
+    seen = False  # an article with text
     while at < len(page):
-        token = _TOKEN.match(page, at)
+        token = (reader if at <= last else _PLAIN).match(page, at)
+        if reader is _TOKEN and token[0] == "<" and page[at + 1:at + 2].isalpha() and at <= last:
+            reader = _BARE  # a quote swallows every end that is left
+            token = reader.match(page, at)
         at = token.end()
         name = token[2]
-        if name is None:
+        if not name:
             if not head and not inline() and not token[0].startswith(("<!", "<?")):
                 text.append(token[0])
                 if anchors:
                     linked += len(token[0].strip())
             continue
-        name, closing = name.lower(), bool(token[1])
+        name, closing, empty = name.lower(), bool(token[1]), token[3].endswith("/")
         if name == "head":
-            head = not closing and not token[4]
+            head = not closing and not empty
             continue
         if head and not closing and name not in HEAD:
             head = False
         if name in RAW:
-            if not closing and not token[4]:
+            if not closing and not empty:
                 end = _ENDS[name].search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -108,7 +123,7 @@ def lines_of(page: str) -> list[Line]:
                 if name in dropping:
                     while dropping.pop() != name:
                         pass
-            elif not token[4] and (name in dropping or _named(token[3])):
+            elif not empty and (name in dropping or _named(token[3], _ADS, _NAMES)):
                 dropping.append(name)
             continue
         flush()
@@ -128,11 +143,12 @@ def lines_of(page: str) -> list[Line]:
                 main = max(0, main - 1)
             continue
         if dropping and (name in MAIN or name in ("h1", "footer")):
-            if dropping[0] not in MAIN or name in MAIN:
+            # before the article this ends what was left open; after it, comments and teasers may be articles
+            if (dropping[0] not in MAIN or name in MAIN) and not (seen and name in MAIN):
                 dropping.clear()
-        bad = name in DROPPED or (name not in MAIN and name not in ("body", "html") and _named(token[3]))
+        bad = name in DROPPED or ((name not in MAIN or seen) and name not in ("body", "html") and _named(token[3]))
         if dropping or bad:
-            if not token[4] and name not in VOID:
+            if not empty and name not in VOID:
                 dropping.append(name)
         elif name in MAIN:
             main += 1
@@ -140,8 +156,10 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def _named(attributes: str) -> bool:
-    return any(_NAMES.search(m[1].strip("\"'")) for m in _ATTRIBUTE.finditer(attributes or ""))
+def _named(attributes: str, names: re.Pattern = _NAMES, single: re.Pattern | None = None) -> bool:
+    """Whether an attribute holds one of ``names``, or nothing but one of ``single``."""
+    values = [m[1].strip("\"' ") for m in _ATTRIBUTE.finditer(attributes or "")]
+    return any(names.search(v) or (single is not None and not re.search(r"\s", v) and single.search(v)) for v in values)
 
 
 def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:

@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plaidframe.llm import manifest, suffixes, whiten
+from plaidframe.llm import html, manifest, suffixes, whiten
 
 
 # whitening
@@ -194,3 +195,28 @@ def test_removed_runs_and_kept_bytes(spark):
     docs = spark.createDataFrame([(1, "a" * 5 + "0123456789" * 3), (2, "0123456789" * 3 + "z")], "doc_id long, text string")
     rows = sorted(suffixes.repeats_removed(docs, length=25, anchor=10).collect())
     assert [(r.removed[0].first, r.removed[0].end, bytes(r.kept)) for r in rows] == [(5, 35, b"aaaaa"), (0, 30, b"z")]
+
+
+# pages that break
+
+def test_cut_off_and_unbalanced_tags_take_linear_time():
+    start = time.process_time()
+    assert html.extract("<article><p>Text of a page that is cut off inside a tag.</p><div " + 'a="b" ' * 20_000) .startswith("Text of a page")
+    for page in ("<b" * 50_000, "<b 'x\" " * 20_000 + "'>", '<a href="' * 50_000 + ">", "<!" * 50_000, "<" * 50_000 + ">"):
+        html.extract(page)
+    assert time.process_time() - start < 5
+    assert html.extract("<p>One <b title=\"x>bold</b> and more words to make it long enough.</p>").startswith("One bold and more")
+    assert html.extract("<p>Five < six and seven > two, as everybody knows by heart.</p>") == "Five < six and seven > two, as everybody knows by heart."
+
+
+def test_articles_of_comments_and_teasers():
+    own = "<article><h1>Title</h1><p>The article itself, long enough to be kept, with a <span class='nav-term tag'>word</span> inside.</p></article>"
+    want = "Title\n\nThe article itself, long enough to be kept, with a word inside."
+    for after in ('<div id="comments"><article class="comment"><p>A reader says something long about it all.</p></article></div>',
+                  '<section class="comments"><ol><li><article><p>A reader says something long about it all.</p></article></li></ol></section>',
+                  '<aside class="related"><article><p>Read this other article of ours as well today.</p></article></aside>',
+                  '<article class="teaser promo"><p>Read this other article of ours as well today.</p></article>'):
+        assert html.extract("<body>" + own + after + "</body>") == want
+    assert html.extract('<div class="menu"><ul><li>Home</li>' + own) == want  # a menu left open
+    two = own + "<article><p>A second article of the page that is no less long.</p></article>"
+    assert html.extract(two) == want + "\n\nA second article of the page that is no less long."
