@@ -15,7 +15,7 @@ from ..model import frames, generate, moments, ranks, regularise
 from ..model.fit import fit_decay, fit_dense, fit_sparse
 from ..model.mass import Model
 from ..model.params import state_order
-from ..operators import balance, clean, compare, distance, ordered, pairs, reshape, sampling, select, zeros
+from ..operators import balance, clean, compare, distance, ordered, pairs, reshape, sampling, select, splitting, zeros
 from ..sources.registry import best_fit, top_fits
 from ..session import cut
 from . import accuracy, mixing, pca
@@ -26,7 +26,8 @@ COARSEN_BY, STRETCH_BY, MARGINAL_CUTOFF = 3, 2, 230
 ZERO_SAMPLE, ZERO_SEED = 1000, 7
 THIN_TO, THIN_SEED = 0.3, 3
 BALANCE_PASSES = 3
-FIT_OPTIONS = {"maxiter": 5, "maxls": 20}
+REPLICATES, RATES = 2, (0.1, 0.3, 0.6)
+FIT_OPTIONS = {"ftol": 1e-6}  # fits end by their stopping rule
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,10 @@ def model(d: ContactData, resolution: float | None = None) -> Model:
     return Model(cut(d.states()), d.genome, CIS_WEIGHTS, TRANS_WEIGHTS, ALPHA, BETA, resolution)
 
 
+def cut_model(d: ContactData) -> Model:
+    return model(d, RESOLUTION)
+
+
 def matrix(d: ContactData, resolution: float | None = RESOLUTION) -> generate.ModelMatrix:
     return generate.ModelMatrix(model(d, resolution))
 
@@ -612,6 +617,35 @@ def accuracy_of_thinned_data(d):
     return table.select("rate", "metric", r("value", 8).alias("value"))
 
 
+@query
+def accuracy_genome_wide(d):
+    """The model against the data (run 0) and against replicates drawn from it, chromosome by chromosome."""
+    reads = int(d.pixels().agg(F.sum("count")).first()[0])
+    runs = splitting.draws(matrix(d).values(), "value", [(k, reads, THIN_SEED + k) for k in range(1, REPLICATES + 1)],
+                           splitting.binomial).withColumnRenamed("case", "run")
+    data = d.pixels().withColumn("run", F.lit(0))
+    table = accuracy.by_case(model(d, RESOLUTION), cut(data.unionByName(runs)), ["run"])
+    return table.select("run", "chrom_idx", "metric", r("value", 7).alias("value"))
+
+
+@query
+def accuracy_thinning_grid(d):
+    """The model against samples of the reads at several rates, all drawn in one pass."""
+    upper = d.pixels().where("bin1_id < bin2_id")
+    reads = int(upper.agg(F.sum("count")).first()[0])
+    cases = [(int(100 * rate), sampling.sample_size(reads, rate), THIN_SEED) for rate in RATES]
+    thinned = splitting.draws(upper, "count", cases, splitting.hypergeometric).withColumnRenamed("case", "percent")
+    table = accuracy.whole_by_case(model(d, RESOLUTION), cut(thinned), ["percent"])
+    return table.select("percent", "metric", r("value", 7).alias("value"))
+
+
+@query
+def accuracy_single_cells(d):
+    """The model against every single cell, over all usable pairs."""
+    table = accuracy.whole_by_case(model(d, RESOLUTION), d.cell_pixels(), ["cell_id"])
+    return table.select("cell_id", "metric", r("value", 7).alias("value"))
+
+
 @query
 def row_correlation(d):
     normalised = distance.distance_normalised(balanced_cells(d), usable(d), d.n_bins)

@@ -168,10 +168,11 @@ def gradient_shared(source: str, x: str, mass: str, decay: str, ln_d: str, symme
 
 
 ALL_PAIRS = """,
-allp as (select t.*, coalesce(p.count, 0)::double as x, exp(ln_decay_r) as dr, g * exp(ln_decay_r) as mr,
+allp as materialized (select t.*, coalesce(p.count, 0)::double as x, exp(ln_decay_r) as dr, g * exp(ln_decay_r) as mr,
                 ln_d + ln(50000.0::double) as ln_dr
          from terms t left join pixels p using (bin1_id, bin2_id)),
-model as (select bin1_id, bin2_id, x as a, mr / (select sum(mr) from allp) as b, c1, c2 from allp)
+mass as materialized (select sum(mr) as z, sum(x) as reads from allp),
+model as materialized (select bin1_id, bin2_id, x as a, mr / z as b, c1, c2 from allp, mass)
 """
 
 GROUPS = """,
@@ -506,8 +507,41 @@ side as (select m.bin1_id, m.bin2_id, coalesce(t.count, 0)::double as a, m.b fro
 select 0.3::double as rate, 'pearson' as metric, {rnd('corr(a, b)', 8)} as value from side
 union all select 0.3::double, 'lr', {rnd('exp((ab_pos - ln(tb) * ua) / ta - (aa - ln(ta) * ua) / ta)', 8)}
 from {LIKELIHOOD_SUMS.replace('from model', 'from side')}""")
-add("likelihood_residuals", ALL_PAIRS + f"select bin1_id, bin2_id, {rnd('x - (select sum(x) / sum(mr) from allp) * mr', 8)} as residual "
-    "from allp where x > 0")
+RUNS = ALL_PAIRS + "".join(
+    "," + split_tree(f"run{k}", "select bin1_id, bin2_id, b as amt from model", "(select cast(sum(count) as bigint) from pixels)", 3 + k, "binomial")
+    for k in (1, 2))
+SIDE_LR = "exp((sum(case when a > 0 then a * ln(b) end) - ln(sum(b)) * sum(a)) / sum(a) - (sum(case when a > 0 then a * ln(a) end) - ln(sum(a)) * sum(a)) / sum(a))"
+add("accuracy_genome_wide", RUNS + f""",
+drawn as (select 0 as run, bin1_id, bin2_id, count from pixels union all select 1, * from run1 union all select 2, * from run2),
+side as materialized (
+  select r.run, m.c1 as chrom_idx, m.bin2_id - m.bin1_id as d, coalesce(t.count, 0)::double as a, m.b
+  from model m join (values (0), (1), (2)) r(run) on m.c1 = m.c2
+  left join drawn t on t.run = r.run and t.bin1_id = m.bin1_id and t.bin2_id = m.bin2_id),
+means as (select run, chrom_idx, d, avg(a) as ma, avg(b) as mb from side group by all),
+scaled as (select run, chrom_idx, case when ma = 0 then 0 else a / ma end as a, b / mb as b from side join means using (run, chrom_idx, d))
+select run, chrom_idx, 'pearson' as metric, {rnd('corr(a, b)', 7)} as value from side group by 1, 2 having sum(a) > 0
+union all select run, chrom_idx, 'lr', {rnd(SIDE_LR, 7)} from side group by 1, 2 having sum(a) > 0
+union all select run, chrom_idx, 'normalised_pearson', {rnd('corr(a, b)', 7)} from scaled group by 1, 2 having sum(a) > 0""")
+THIN_RATES = ALL_PAIRS + "".join(
+    "," + split_tree(f"rate{rate}", "select bin1_id, bin2_id, count as amt from pixels where bin1_id < bin2_id",
+                     f"(select cast(floor(sum(count) * {rate / 100}::double) as bigint) from pixels where bin1_id < bin2_id)", 3, "hypergeometric")
+    for rate in (10, 30, 60))
+add("accuracy_thinning_grid", THIN_RATES + f""",
+drawn as (select 10 as percent, * from rate10 union all select 30, * from rate30 union all select 60, * from rate60),
+side as materialized (
+  select r.percent, coalesce(t.count, 0)::double as a, m.b from model m join (values (10), (30), (60)) r(percent) on true
+  left join drawn t on t.percent = r.percent and t.bin1_id = m.bin1_id and t.bin2_id = m.bin2_id)
+select percent, 'pearson' as metric, {rnd('corr(a, b)', 7)} as value from side group by 1
+union all select percent, 'lr', {rnd(SIDE_LR, 7)} from side group by 1""")
+add("accuracy_single_cells", ALL_PAIRS + f""",
+cellp as (select cell_id, bin1_id, bin2_id, count(*)::double as a from contacts group by all),
+own as (select count(*)::double as n, sum(b) as sb, sum(b * b) as sbb from model),
+sums as (select cell_id, sum(x.a) as sa, sum(x.a * x.a) as saa, sum(x.a * m.b) as sab, sum(x.a * ln(m.b)) as ab, sum(x.a * ln(x.a)) as aa
+         from cellp x join model m using (bin1_id, bin2_id) group by 1)
+select cell_id, 'pearson' as metric, {rnd('(sab - sa * sb / n) / sqrt(saa - sa * sa / n) / sqrt(sbb - sb * sb / n)', 7)} as value from sums, own
+union all select cell_id, 'lr', {rnd('exp((ab - aa - (ln(sb) - ln(sa)) * sa) / sa)', 7)} from sums, own""")
+add("likelihood_residuals", ALL_PAIRS + f"select bin1_id, bin2_id, {rnd('x - reads / z * mr', 8)} as residual "
+    "from allp, mass where x > 0")
 add("compact_index", "select bin_id, row_number() over (order by bin_id) - 1 as index from good")
 add("row_correlation", NORMALISED + f""",
 fullm as ({MIRROR.format(v='normalised', t='normed')}),

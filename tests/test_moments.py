@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from plaidframe.genome import Genome
 from plaidframe.model import moments, ranks
 from plaidframe.model.mass import Model
+from plaidframe.operators import splitting
+from plaidframe.plans import accuracy
 
 LONG = Genome(("a", "b", "c"), (23, 9, 14))
 
@@ -95,3 +97,42 @@ def test_spearman_without_pairs(spark, size, per_range, ties):
     got = ranks.spearman(model, pixels, size=size, per_range=per_range).first()[0]
     assert got == pytest.approx(want, abs=1e-9 if not ties else 1e-2)
     assert ranks.spearman(model, pixels.limit(0), size=size, per_range=per_range).first()[0] is None
+
+
+def test_many_data_sets_in_one_plan(spark, tmp_path):
+    model, pixels, b, cells = setting(spark, 2, seed=4)
+    chrom = np.repeat(np.arange(3), LONG.lengths)
+    other = {k: v for k, v in cells.items() if chrom[k[0]] == chrom[k[1]] == 0}
+    both = pixels.withColumn("run", F.lit(0)).unionByName(pixels_frame(spark, [(*k, v) for k, v in other.items()]).withColumn("run", F.lit(1)))
+    table = accuracy.by_case(model, both, ["run"])
+    got = {(r.run, r.chrom_idx, r.metric): r.value for r in table.collect()}
+    assert {k[:2] for k in got} == {(0, 0), (0, 1), (0, 2), (1, 0)} and len(got) == 12
+    for (run, c, metric), value in got.items():
+        keys = [k for k in b if chrom[k[0]] == chrom[k[1]] == c]
+        x, y = np.array([(cells if run == 0 else other).get(k, 0.0) for k in keys]), np.array([b[k] for k in keys])
+        d = np.array([j - i for i, j in keys])
+        if metric == "pearson":
+            assert value == pytest.approx(np.corrcoef(x, y)[0, 1], rel=1e-8)
+        if metric == "normalised_pearson":
+            mx, my = (np.array([v[d == e].mean() for e in d]) for v in (x, y))
+            assert value == pytest.approx(np.corrcoef(np.where(mx > 0, x / np.where(mx > 0, mx, 1), 0), y / my)[0, 1], rel=1e-8)
+    path = str(tmp_path / "table")
+    accuracy.write_table(table, path)
+    accuracy.write_table(table.where("metric = 'lr'").withColumn("value", F.lit(7.0)), path)  # replaces its partition only
+    back = {(r.run, r.chrom_idx, r.metric): r.value for r in accuracy.read_table(spark, path).collect()}
+    assert set(back) == set(got) and all(v == (7.0 if k[2] == "lr" else got[k]) for k, v in back.items())
+    grid = accuracy.as_grid(table.where("run = 0"), "chrom_idx", "run", "pearson").orderBy("chrom_idx").collect()
+    assert [r["0"] for r in grid] == [got[0, c, "pearson"] for c in range(3)]
+
+
+def test_draws_of_several_cases_are_the_single_ones(spark):
+    _, pixels, _, cells = setting(spark, 2, seed=5)
+    counts = pixels.withColumn("count", F.col("count").cast("long"))
+    cases = [(3, 40, 1), (4, 40, 2), (9, 0, 1)]
+    got = {}
+    for r in splitting.draws(counts, "count", cases, splitting.hypergeometric, bits=3).collect():
+        got.setdefault(r.case, {})[r.bin1_id, r.bin2_id] = r["count"]
+    assert set(got) == {3, 4} and got[3] != got[4]
+    for case, n, seed in cases[:2]:
+        single = splitting.drawn(counts, "count", n, splitting.hypergeometric, seed)
+        assert got[case] == {(r.bin1_id, r.bin2_id): r["count"] for r in single.collect()}
