@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from fractions import Fraction
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LIMB = 32  # bits of a limb of an exact sum
+
 
 def log_sum_exp(df: DataFrame, column: str, keys: Sequence[str] = (), out: str = "lse") -> DataFrame:
     """One-pass ``ln(sum(exp(x)))``, per key or over the whole frame.
@@ -35,28 +37,40 @@ def exact_sum(x: Column, scale: int = 18) -> Column:
     return F.sum(x.cast(f"decimal(28,{scale})"))
 
 
+def limb_sums(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Exact sum of doubles as integers on a fixed grid, ``(*keys, limb, total)``.
+
+    Limb ``k`` counts units of ``2 ** (LIMB k)``.  A double is cut into whole numbers of at
+    most four neighbouring limbs, largest first, which is exact and has one outcome; the
+    numbers are added up by a plain sum, so neither order nor partitioning matters.  NULL, NaN
+    and infinite values take no part.
+    """
+    x = F.col(column).cast("double")
+    finite = df.select(*keys, x.alias("__x")).where((F.col("__x") != 0) & ~F.isnan("__x") & (F.abs("__x") < float("inf")))
+    top = (F.floor(F.log2(F.abs("__x")) / LIMB) + 1).cast("int")  # none of the digits lies above it
+    half = F.lit(2.0)
+
+    def unit(k: Column, sign: int) -> Column:  # in two factors, as the whole may be beyond a double
+        return F.pow(half, k * (sign * LIMB // 2))
+
+    def cut_off(state: Column, step: Column) -> Column:
+        k = state["k"]
+        whole = state["rest"] * unit(k, -1) * unit(k, -1)
+        whole = F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole)).cast("double")
+        return F.struct((k - 1).alias("k"), (state["rest"] - whole * unit(k, 1) * unit(k, 1)).alias("rest"),
+                        F.concat(state["limbs"], F.array(F.struct(k.alias("limb"), whole.cast("long").alias("q")))).alias("limbs"))
+
+    start = F.struct(top.alias("k"), F.col("__x").alias("rest"), F.array().cast("array<struct<limb:int,q:long>>").alias("limbs"))
+    limbs = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, cut_off, lambda state: state["limbs"])
+    return (finite.select(*keys, F.explode(limbs).alias("__l")).where("__l.q <> 0")
+            .groupBy(*keys, F.col("__l.limb").alias("limb"))
+            .agg(F.sum(F.col("__l.q").cast("decimal(20,0)")).cast("decimal(38,0)").alias("total")))
+
+
 def float_sum(df: DataFrame, column: str) -> float:
-    """Correctly rounded double sum: each task reduces its rows to a few
-    non-overlapping doubles, the driver adds those."""
-
-    def reduce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[float] = []
-        for batch in batches:
-            kept = _split_exact(kept + batch.column(0).drop_null().to_pylist())
-        yield pa.RecordBatch.from_pydict({"part": pa.array(kept, pa.float64())})
-
-    parts = df.select(F.col(column).cast("double").alias("x")).mapInArrow(reduce_task, "part double")
-    return math.fsum(r.part for r in parts.collect())
-
-
-def _split_exact(values: list[float]) -> list[float]:
-    """Doubles that add up exactly to the sum of ``values``: peel the rounded total
-    off until nothing is left."""
-    out: list[float] = []
-    rest = values
-    while True:
-        head = math.fsum(rest)
-        if head == 0.0:
-            return out
-        out.append(head)
-        rest = values + [-h for h in out]
+    """Correctly rounded sum of doubles, from at most 70 limbs; NaN if a value is not finite."""
+    x = F.col(column).cast("double")
+    if df.where(F.isnan(x) | (F.abs(x) == float("inf"))).limit(1).count():
+        return math.nan
+    total = sum((Fraction(int(r.total)) * Fraction(2) ** (LIMB * r.limb) for r in limb_sums(df, column).collect()), Fraction(0))
+    return float(total)

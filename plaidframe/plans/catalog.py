@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div, safe_div, safe_log, share, share_by
-from ..functions.numerics import exact_sum, log_sum_exp
+from ..functions.numerics import exact_sum, limb_sums, log_sum_exp
 from ..genome import Genome
 from ..model import frames, generate, moments, ranks, regularise
 from ..model.fit import fit_decay, fit_dense, fit_sparse
@@ -408,6 +408,14 @@ def exact_decimal_sum(d):
         exact_sum(F.col("l_extendedprice"), 6).cast("double").alias("total"))
 
 
+@query
+def exact_float_limbs(d):
+    """Exact sums of a computed double, as integers by limb."""
+    priced = d.table("lineitem").select("l_returnflag", (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+                                                         / F.col("l_quantity")).cast("double").alias("x"))
+    return limb_sums(priced, "x", ["l_returnflag"]).withColumn("total", F.col("total").cast("double"))
+
+
 # --- zero cells ------------------------------------------------------------------
 
 @query

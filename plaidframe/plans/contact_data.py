@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import cached_property, reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div
@@ -101,11 +101,15 @@ class ContactData:
                 .agg(F.count("*").alias("count")))
 
     def all_states(self) -> DataFrame:
-        """State vector of every bin from the embeddings that fall into it."""
+        """State vector of every bin from the embeddings that fall into it; component k counts for state k modulo N_STATES."""
         _, n, vectors, _ = self.sizes
         e = F.col("embedding")
-        level = [F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.avg(F.abs(e[k].cast("double")))))
-                 for k in range(N_STATES)]
+
+        def folded(s: int) -> Column:
+            places = F.sequence(F.lit(s + 1), F.size(e), F.lit(N_STATES))
+            return F.abs(F.aggregate(places, F.lit(0.0), lambda total, k: total + F.element_at(e, k).cast("double")))
+
+        level = [F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.avg(folded(s)))) for s in range(N_STATES)]
         per_bin = (self.table("embeddings")
                    .groupBy(int_div(F.col("vec_id") * F.lit(n), vectors).alias("bin_id"))
                    .agg(*[c.alias(f"e{k}") for k, c in enumerate(level)]))

@@ -49,9 +49,9 @@ balanced as (select bin1_id, bin2_id, c1, c2, count, count * w1 * w2 as value fr
 cells as (select * from balanced where value is not null),
 raw_states as (
   select cast(vec_id * n // vectors as int) as bin_id,
-         greatest(0.01, least(0.99, avg(abs(embedding[1]::double)))) as e0,
-         greatest(0.01, least(0.99, avg(abs(embedding[2]::double)))) as e1,
-         greatest(0.01, least(0.99, avg(abs(embedding[3]::double)))) as e2
+         greatest(0.01, least(0.99, avg(abs(list_sum(list_transform(range(1, len(embedding) + 1, 3), lambda i: embedding[i]::double)))))) as e0,
+         greatest(0.01, least(0.99, avg(abs(list_sum(list_transform(range(2, len(embedding) + 1, 3), lambda i: embedding[i]::double)))))) as e1,
+         greatest(0.01, least(0.99, avg(abs(list_sum(list_transform(range(3, len(embedding) + 1, 3), lambda i: embedding[i]::double)))))) as e2
   from embeddings, sizes group by 1
 ),
 all_states as (select bin_id, e0 / (e0 + e1 + e2) as p0, e1 / (e0 + e1 + e2) as p1, e2 / (e0 + e1 + e2) as p2
@@ -387,6 +387,13 @@ top as (select cis, max(ln(g) + ln_decay) as m from counted group by 1)
 select cis, {rnd('ln(sum(exp(ln(g) + ln_decay - m))) + any_value(m)', 9)} as lse from counted join top using (cis) group by 1""")
 add("exact_decimal_sum", "select l_returnflag, cast(sum(cast(l_extendedprice as decimal(28, 6))) as double) as total from lineitem group by 1", "")
 
+LIMBS = ["l0 as (select l_returnflag, cast(floor(log2(abs(x)) / 32) as int) + 1 as k, x as rest from priced where x <> 0)"]
+for _i in range(1, 5):
+    LIMBS.append(f"l{_i} as (select l_returnflag, k - 1 as k, k as limb, trunc(rest * pow(2.0::double, -16 * k) * pow(2.0::double, -16 * k)) as q, "
+                 f"rest - trunc(rest * pow(2.0::double, -16 * k) * pow(2.0::double, -16 * k)) * pow(2.0::double, 16 * k) * pow(2.0::double, 16 * k) as rest from l{_i - 1})")
+add("exact_float_limbs", "with priced as (select l_returnflag, cast(l_extendedprice * (1.0::double - l_discount) / l_quantity as double) as x from lineitem), "
+    + ", ".join(LIMBS) + " select l_returnflag, limb, cast(sum(cast(q as hugeint)) as double) as total from ("
+    + " union all ".join(f"select l_returnflag, limb, q from l{i}" for i in range(1, 5)) + ") where q <> 0 group by 1, 2", "")
 add("zero_counts_both", ZEROS + "select g.bin_id, count(z.bin2_id) as zeros from good g left join zeros z on z.bin1_id = g.bin_id group by 1")
 add("zero_counts_trans", ZEROS + "select g.bin_id, count(z.bin2_id) as zeros from good g left join (select * from zeros where c1 <> c2) z "
     "on z.bin1_id = g.bin_id group by 1")

@@ -452,3 +452,13 @@ def test_option_strings():
     assert isinstance(number("3"), int) and isinstance(number("3.0"), float)
     with pytest.raises(ValueError):
         key_values("a")
+
+
+def test_exact_sums_of_awkward_doubles(spark):
+    rng = np.random.default_rng(8)
+    big = [1e308, -1e308, 5e-324, -5e-324, 2.0 ** 32, -(2.0 ** 32), 2.0 ** 64 - 2.0 ** 11, 0.1, 1e-300, 3.0 ** 40, -0.0, 2.0 ** -1040]
+    for values in (big, (rng.standard_normal(500) * 10.0 ** rng.integers(-200, 200, 500)).tolist(), [0.1] * 10, [1e16, 1.0, -1e16], []):
+        df = frame(spark, [(v,) for v in values] + [(None,)], "x double")
+        assert float_sum(df, "x") == math.fsum(values)
+        assert float_sum(df.repartition(3), "x") == math.fsum(values)
+    assert math.isnan(float_sum(frame(spark, [(1.0,), (float("inf"),)], "x double"), "x"))
