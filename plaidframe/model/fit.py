@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..genome import Genome
+from ..operators.clean import deduplicated
 from ..operators.zeros import sample_zeros, total_zeros
 from ..session import may_broadcast
 from .checkpoint import OptimiserCheckpoint
@@ -123,13 +124,21 @@ def fit_sparse(pixels: DataFrame, bins: DataFrame, genome: Genome, n_states: int
                trans_shape: str = "symmetric", states: Callable | None = None, init: dict | None = None,
                fixed: dict | None = None, options: dict | None = None, seed: int | None = None,
                checkpoint: OptimiserCheckpoint | None = None, restore: bool = True,
-               debug: Callable | None = None, value: str = "count") -> Fit:
-    """Fit with Z over stored pixels and (sampled) zero cells."""
+               debug: Callable | None = None, value: str = "count", dups: str = "keep",
+               dups_order: str | None = None) -> Fit:
+    """Fit with Z over stored pixels and (sampled) zero cells.
+
+    ``dups`` says what becomes of cells that are stored more than once: ``keep`` takes each
+    as a term of its own, ``fix`` adds them up, ``remove`` drops them, ``ignore`` takes the
+    first by the column ``dups_order``.  In any case they are one cell when zeros are counted.
+    """
+    pixels = deduplicated(pixels, dups, value, dups_order)
     usable = usable_mask(bins, genome.n_bins)
+    held = pixels.select("bin1_id", "bin2_id").distinct()
     if zero_total is None and (n_zeros is not None or zeros is not None):
-        zero_total = total_zeros(pixels, bins, genome, area)
+        zero_total = total_zeros(held, bins, genome, area)
     if n_zeros is not None:
-        zeros = sample_zeros(pixels, bins, genome, n_zeros, zero_seed, area, total=zero_total)
+        zeros = sample_zeros(held, bins, genome, n_zeros, zero_seed, area, total=zero_total)
     layout = _layout(usable, n_states, cis_shape, trans_shape, states, seed, init, fixed)
     objective = PixelObjective(pixels, usable, genome, n_states, zeros=zeros, total_zeros=zero_total or 0,
                                value=value)

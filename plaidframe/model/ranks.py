@@ -26,7 +26,7 @@ from .moments import block_of, tiles
 
 TILE = 256
 RANGE = 1 << 21  # values of a range
-FIRST, MORE, LAST = 20, 12, 64  # leading bits of a first count, further bits of each count after it, all bits
+FIRST, MORE, LAST = 20, 6, 64  # leading bits of a first count, further bits of each count after it, all bits
 PIECES = 1 << 20  # rows of a count on the driver
 
 

@@ -18,10 +18,10 @@ def balanced_by_coefficients(cells: DataFrame, coefficients: DataFrame, n_bins:
 
 
 class Balanced:
-    """Scaling vectors of a balanced matrix, ``x_ij * row_i * col_j``."""
+    """Scaling vectors of a balanced matrix, ``x_ij * row_i * col_j``, and how they were reached."""
 
-    def __init__(self, factors: DataFrame, passes: int, deviation: float):
-        self.factors, self.passes, self.deviation = factors, passes, deviation
+    def __init__(self, factors: DataFrame, passes: int, deviation: float, converged: bool = True):
+        self.factors, self.passes, self.deviation, self.converged = factors, passes, deviation, converged
 
 
 def balancing_factors(cells: DataFrame, n_bins: int, value: str = "value", epsilon: float = 1e-5,
@@ -50,7 +50,7 @@ def balancing_factors(cells: DataFrame, n_bins: int, value: str = "value", epsil
             deviation = float(scaled.agg(F.max(F.abs(F.col("mean") - 1.0))).first()[0] or 0.0)
             done = deviation <= epsilon if fixed_passes is None else passes >= fixed_passes
             if done or passes >= max_passes:
-                return Balanced(factors, passes, deviation)
+                return Balanced(factors, passes, deviation, done)
             # divide the columns, then let rows and columns swap roles
             factors = scaled.select("bin_id", (F.col("col") / F.col("mean")).alias("row"),
                                     F.col("row").alias("col"))
@@ -68,6 +68,8 @@ def balance(cells: DataFrame, n_bins: int, value: str = "value", out: str = "bal
     whether they count as zero or as unusable is up to the bin table of the caller.
     """
     result = balancing_factors(cells, n_bins, value, **options)
+    if not result.converged:
+        print(f"balancing stopped after {result.passes} passes, means still differ by {result.deviation:.3g}")
     # after an odd number of passes the scaled matrix lies transposed
     factors = result.factors
     full = mirrored(cells.where(F.col(value).isNull() | (F.col(value) != 0)).select("bin1_id", "bin2_id", value))

@@ -11,13 +11,13 @@ from plaidframe.session import build_session  # noqa: E402
 
 SMOKE = "/root/testdata/sf0.001"
 
-# Five bins on two chromosomes with two and three states.
+# Five bins on two chromosomes with two and three states; a state that is certain and one that is excluded among them.
 STATES = {
-    2: np.array([[.1, .9], [.8, .2], [.5, .5], [.1, .9], [.3, .7]]),
-    3: np.array([[.1, .4, .5], [.1, .7, .2], [.25, .25, .5], [.9, 0, .1], [0, 0, 1]]),
+    2: np.array([[.35, .65], [.6, .4], [.92, .08], [.27, .73], [.45, .55]]),
+    3: np.array([[.2, .3, .5], [.55, .15, .3], [.05, .6, .35], [0, 1, 0], [.7, 0, .3]]),
 }
-CIS = {2: np.array([[.5, .1], [.1, .3]]), 3: np.array([[.5, 0, .05], [0, .2, .03], [.05, .03, .22]])}
-TRANS = {2: np.array([[0, .1], [.1, .9]]), 3: np.array([[0, 0, .05], [0, .4, .03], [.05, .03, .42]])}
+CIS = {2: np.array([[.55, .07], [.07, .31]]), 3: np.array([[.34, .07, 0], [.07, .26, .04], [0, .04, .18]])}
+TRANS = {2: np.array([[.02, .06], [.06, .86]]), 3: np.array([[.15, .06, 0], [.06, .31, .08], [0, .08, .26]])}
 ALPHA, BETA = -1.0, -1.5
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import ALPHA, BETA, CIS, TRANS, bins_frame, model_table, pixels_frame, states_frame
+from pyspark.sql import functions as F
 
 from plaidframe.genome import Genome
 from plaidframe.model import regularise
@@ -184,3 +185,19 @@ def test_distributed_fit_follows_the_broadcast_one(spark, truth, dense):
     assert 5 not in got
     for b, p in got.items():
         np.testing.assert_allclose(p, small.state_probabilities[b], atol=1e-7)
+
+
+def test_repeated_cells_in_a_sparse_fit(spark, truth):
+    """Cells stored in parts fit as their sums do; dropping them or taking the first part changes the data."""
+    cells = [(i, j, float(round(x))) for (i, j), x in truth[1].items() if round(x) > 1]
+    whole, bins = pixels_frame(spark, cells), bins_frame(spark, GENOME)
+    parts = (whole.withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
+             .withColumn("count", F.when(F.col("part") == 1, F.lit(1.0)).otherwise(F.col("count") - 1)))
+    run = lambda p, **more: fit_sparse(p, bins, GENOME, 2, n_zeros=15, seed=3, options={"maxiter": 3}, **more).objective
+    assert run(parts, dups="fix") == pytest.approx(run(whole), rel=1e-9)
+    first = whole.withColumn("count", F.lit(1.0))
+    assert run(parts, dups="ignore", dups_order="part") == pytest.approx(run(first), rel=1e-9)
+    assert run(parts.unionByName(parts.where("part = 1 and bin1_id > 0")).where("bin1_id > 0 or part = 1"), dups="remove") \
+        == pytest.approx(run(first.where("bin1_id = 0")), rel=1e-9)
+    with pytest.raises(ValueError):
+        run(parts, dups="other")
