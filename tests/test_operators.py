@@ -98,6 +98,27 @@ def test_pairs_and_windows(spark):
     assert cut == [(i, j) for i in (2, 3, 4, 6) for j in (6, 7, 8) if i <= j]
 
 
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_pairs_beside_stored_cells(spark, diagonal):
+    bins = frame(spark, [(k,) for k in range(16) if k != 5] + [(9,), (None,)], "bin_id int")
+    cells = frame(spark, [(0, 1, 2.5), (0, 1, 3.5), (0, 1, 4.5), (3, 3, 1.0), (2, 9, 7.0), (2, 9, None), (5, 6, 9.0), (9, 2, 8.0),
+                          (4, None, 1.0), (13, 15, None), (14, 15, float("nan"))], "bin1_id int, bin2_id int, value double")
+    every = pairs.bin_pairs(bins, 16, diagonal=diagonal, size=4)
+    told = lambda df: sorted(map(str, df.collect()))
+    ends = ["bin1_id", "bin2_id"]
+    assert told(pairs.pairs_beside(bins, 16, cells, "value", diagonal=diagonal, size=4)) == told(every.join(cells, ends, "left"))
+    assert told(pairs.pairs_without(bins, 16, cells, diagonal=diagonal, size=4)) == told(every.join(cells, ends, "left_anti"))
+
+
+def test_pairs_are_not_exchanged(spark):
+    """Exchanges hold cells and bins; the pairs are made behind the last one."""
+    bins, stored = bins_frame(spark, GENOME), pixels_frame(spark, [(0, 1, 2), (3, 9, 1)])
+    for df in (zeros.zero_candidates(stored, bins, GENOME, "trans"), pairs.pairs_beside(bins, 16, stored, "count")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        made = plan.index("MapInArrow")
+        assert "Exchange" not in plan[:made] and "Join" not in plan[:made] and "Join" in plan[made:]
+
+
 @pytest.mark.parametrize("names", [("chr1", "chrX"), ("chrX", "chr1"), ("chr2",)])
 def test_selection_matches_array_indexing(spark, names):
     cells = random_cells()
