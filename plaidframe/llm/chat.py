@@ -3,9 +3,9 @@
 Every assistant turn becomes an example: its context is all that came before in the
 conversation, and only its own text is trainable.  The examples of a conversation are
 prefixes of one another, so each one stores only what it adds to the one before
-(``new_text``) and how many characters precede it (``context_chars``); the size of the output
-is that of the input and not its square.  ``full_text`` puts prefixes together where whole
-texts are wanted.
+(``new_text``) and how many characters precede it (``context_chars``); the size of what is kept
+is that of the input and not its square.  ``full_text`` writes the whole examples, each with its
+context, and ``read_back`` reads these.
 
 A turn is written ``<|im_start|>role\\n text <|im_end|>\\n``.  In texts and roles a backslash
 comes before each backslash and inside each ``<|`` (``<\\|``), in roles also before a line
@@ -20,7 +20,7 @@ gives no examples.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_sum
@@ -78,36 +78,48 @@ def examples(turns: DataFrame) -> DataFrame:
 
 
 def full_text(parts: DataFrame) -> DataFrame:
-    """Whole text of every example, context included; its size is the square of a conversation's."""
-    upto = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    return parts.select(
-        "conv_id", "example", F.concat_ws("", F.collect_list("new_text").over(upto)).alias("text"),
-        (F.col("context_chars") + F.col("loss_start")).alias("loss_start"),
-        (F.col("context_chars") + F.col("loss_end")).alias("loss_end"))
+    """Whole text of every example, context included: ``conv_id, example, text, loss_start, loss_end, last``.
+
+    Positions are those in ``text``; ``last`` marks the example that holds the whole conversation.  A conversation's
+    parts are exchanged once and meet in one row; its examples are written from there one after the other, so their
+    size, the square of a conversation's, passes through but is neither held nor exchanged.
+    """
+    whole = F.sort_array(F.collect_list(F.struct("example", "new_text", "loss_start", "loss_end", "context_chars")))
+    each = (parts.groupBy("conv_id").agg(whole.alias("parts"))
+            .select("conv_id", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("k")))
+    own = F.element_at("parts", F.col("k"))
+    return each.select(
+        "conv_id", own["example"].alias("example"),
+        F.concat_ws("", F.slice(F.col("parts.new_text"), F.lit(1), F.col("k"))).alias("text"),
+        (own["context_chars"] + own["loss_start"]).alias("loss_start"),
+        (own["context_chars"] + own["loss_end"]).alias("loss_end"), (F.col("k") == F.size("parts")).alias("last"))
 
 
 def read_back(parts: DataFrame) -> DataFrame:
-    """Digests of each conversation as read from its examples' texts and loss spans.
+    """Digests of each conversation as read from its whole examples and their loss spans.
 
-    A digest is that of one string, so the text of a conversation meets in one row here.
+    The turns are those of the longest example.  A digest is that of one string, so the trained texts of a
+    conversation meet in one row here.
     """
-    whole = F.sort_array(F.collect_list(F.struct("example", "new_text", "loss_start", "loss_end", "context_chars")))
-    grouped = (parts.groupBy("conv_id").agg(whole.alias("parts"))
-               .withColumn("formatted", F.concat_ws("", "parts.new_text")))
-    segments = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda s: s != "")
+    segments = F.filter(F.split("text", r"<\|im_end\|>\n", -1), lambda s: s != "")
     role = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*+)\n(.*)$"
     turns = F.transform(segments, lambda s: F.concat(
         unescape(F.regexp_extract(s, role, 1)), F.lit("\n"), unescape(F.regexp_extract(s, role, 2)), F.lit("\n")))
-    trained = F.filter("parts", lambda p: p["loss_start"].isNotNull())
-    lost = F.concat_ws("", F.transform(trained, lambda p: unescape(F.substring(
-        p["new_text"], p["loss_start"] + 1, p["loss_end"] - p["loss_start"]))))
-    examples_chars = F.aggregate(trained, F.lit(0).cast("long"),
-                                 lambda a, p: a + p["context_chars"] + F.length(p["new_text"]))
-    return (grouped.withColumn("__turns", turns).withColumn("__lost", lost)
-            .select("conv_id", F.size("__turns").cast("long").alias("n_turns"),
-                    F.sha2(F.concat_ws("", "__turns").cast("binary"), 256).alias("turns_sha256"),
-                    F.length("__lost").cast("long").alias("loss_chars"),
-                    F.sha2(F.col("__lost").cast("binary"), 256).alias("loss_sha256"),
-                    F.length("formatted").cast("long").alias("formatted_chars"),
-                    F.size(trained).cast("long").alias("n_examples"),
-                    examples_chars.alias("example_chars")))
+    trained = F.col("loss_start").isNotNull()
+    start, end = F.col("loss_start").cast("int"), F.col("loss_end").cast("int")
+    read = full_text(parts).select(
+        "conv_id", "example", F.when(trained, unescape(F.substring("text", start + 1, end - start))).alias("lost"),
+        F.when(trained, F.length("text")).cast("long").alias("chars"),
+        F.when(F.col("last"), F.struct(turns.alias("turns"), F.length("text").cast("long").alias("chars"))).alias("whole"))
+    read = read.select("conv_id", "example", "lost", "chars", F.size("whole.turns").cast("long").alias("n_turns"),
+                       F.sha2(F.concat_ws("", "whole.turns").cast("binary"), 256).alias("turns_sha256"),
+                       F.col("whole.chars").alias("formatted_chars"), F.col("whole").isNotNull().alias("last"))
+    at_last = lambda c: F.max(F.when(F.col("last"), F.col(c))).alias(c)
+    losses = F.sort_array(F.collect_list(F.when(F.col("lost").isNotNull(), F.struct("example", "lost"))))
+    return (read.groupBy("conv_id")
+            .agg(at_last("n_turns"), at_last("turns_sha256"), losses.alias("losses"), at_last("formatted_chars"),
+                 F.count("lost").alias("n_examples"), F.coalesce(F.sum("chars"), F.lit(0)).alias("example_chars"))
+            .withColumn("__lost", F.concat_ws("", "losses.lost"))
+            .select("conv_id", "n_turns", "turns_sha256", F.length("__lost").cast("long").alias("loss_chars"),
+                    F.sha2(F.col("__lost").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "n_examples",
+                    "example_chars"))

@@ -233,6 +233,21 @@ def test_full_text_of_examples(spark):
     assert [t.text[t.loss_start:t.loss_end] for t in texts] == ["a|<\\|", "b"]
 
 
+def test_examples_are_read_whole(spark):
+    """Trained texts and lengths come from each example's text with its context, not from what it adds."""
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "abc"), (1, 2, "user", "r"), (1, 3, "assistant", "d|"),
+                                   (1, 4, "user", "s"), (2, 0, "user", "alone")], "conv_id long, turn long, role string, text string")
+    parts = chat.examples(turns)
+    told = {r.conv_id: r for r in chat.read_back(parts).collect()}
+    lengths = {(r.conv_id, r.example): len(r.text) for r in chat.full_text(parts).collect()}
+    assert told[1].example_chars == lengths[1, 0] + lengths[1, 1] and told[1].formatted_chars == lengths[1, 2]
+    assert (told[1].n_turns, told[1].n_examples, told[1].loss_chars) == (5, 2, 5)
+    assert (told[2].n_turns, told[2].n_examples, told[2].loss_chars, told[2].example_chars) == (1, 0, 0, 0)
+    moved = parts.withColumn("context_chars", F.when(F.col("example") == 1, F.col("context_chars") - 1).otherwise(F.col("context_chars")))
+    off = {r.conv_id: r for r in chat.read_back(moved).collect()}[1]
+    assert off.example_chars == told[1].example_chars and off.loss_sha256 != told[1].loss_sha256
+
+
 def test_url_wildcards():
     automaton = urls.Automaton(["*.a?c/**", "x*y"])
     raw = b".www.abc/zz" + b"x1y" + b"x/y" + b".a/c/"
