@@ -8,9 +8,9 @@ from conftest import ALPHA, BETA, CIS, STATES, TRANS, model_table, pixels_frame,
 from pyspark.sql import functions as F
 
 from plaidframe.genome import Genome
-from plaidframe.model import moments, ranks
+from plaidframe.model import draws, generate, moments, ranks
 from plaidframe.model.mass import Model
-from plaidframe.operators import splitting
+from plaidframe.operators import pairs, sampling, splitting
 from plaidframe.plans import accuracy
 
 LONG = Genome(("a", "b", "c"), (23, 9, 14))
@@ -136,3 +136,22 @@ def test_draws_of_several_cases_are_the_single_ones(spark):
     for case, n, seed in cases[:2]:
         single = splitting.drawn(counts, "count", n, splitting.hypergeometric, seed)
         assert got[case] == {(r.bin1_id, r.bin2_id): r["count"] for r in single.collect()}
+
+
+@pytest.mark.parametrize("size,reads", [(4, 700), (16, 1 << 20)])
+def test_keyed_reads_of_a_model_without_pairs(spark, size, reads, monkeypatch):
+    """The draw over a model matrix is the one over its listed cells, and lists none itself."""
+    model, *_ = setting(spark, 3, seed=6)
+    matrix = generate.ModelMatrix(model)
+    want = {(r[0], r[1]): r[2] for r in sampling.multinomial_keyed(matrix.values(), 3000, seed=9).collect()}
+
+    def listed(*args, **kwargs):
+        raise AssertionError("pairs were listed")
+
+    for module in (generate, pairs):
+        monkeypatch.setattr(module, "bin_pairs", listed)
+    got = draws.multinomial_keyed(model, 3000, seed=9, size=size, reads_per_piece=reads)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == want
+    assert {(r[0], r[1]): r[2] for r in sampling.multinomial_keyed(matrix, 3000, seed=9).collect()} == want
+    none = Model(model.states.limit(0), LONG, CIS[3], TRANS[3], ALPHA, BETA)
+    assert sampling.multinomial_keyed(generate.ModelMatrix(none), 10).collect() == []
