@@ -3,8 +3,8 @@
 A tile, a pair of blocks of state vectors with the data stored there, makes its model values in memory.
 A first pass counts them by leading bits of the number; classes with too many are counted again by more
 bits.  Classes in a row make ranges of about equal numbers of values.  A second pass sends each range its
-values, packed, equal ones of a batch once with their number; a range sorts what it gets and returns sums of
-ranks within the range: in all, and for each data value.  Offsets of ranges and ranks of data values are
+values, packed, equal ones of a batch once with their number, and stored cells apart; a range sorts what it gets and
+returns sums of ranks within the range: in all, and for each data value.  Offsets of ranges and ranks of data values are
 then running totals over one row a range and one row a distinct data value.  Zero cells of the data are one
 value with a weight.
 """
@@ -22,11 +22,11 @@ from ..operators.ordered import running_ranges
 from ..operators.select import between_usable
 from ..session import cut
 from .mass import Model
-from .moments import block_of, tiles
+from .moments import block_of, tile_matrix, tiles
 
-TILE = 256
-RANGE = 1 << 21  # values of a range
-FIRST, MORE, LAST = 20, 6, 64  # leading bits of a first count, further bits of each count after it, all bits
+TILE = 1024
+RANGE = 1 << 22  # values of a range
+FIRST, MORE, LAST = 24, 6, 64  # leading bits of a first count, further bits of each count after it, all bits
 PIECES = 1 << 20  # rows of a count on the driver
 
 
@@ -44,24 +44,28 @@ def with_data(model: Model, pixels: DataFrame, value: str, size: int = TILE) ->
     return tiles(model, size).join(held, ["block1", "block2"], "left")
 
 
-def tile_values(model: Model):
-    """A function from a row of :func:`with_data` to its model values and the data beside them."""
-    n, cis, trans, alpha, beta, ln_res = (model.n_states, model.cis, model.trans, model.alpha, model.beta, model.ln_resolution)
+def tile_values(model: Model, means=None):
+    """A function from a row of :func:`with_data` to its model values and the data beside them.
+
+    ``means``, a broadcast pair of arrays by distance, are the data's and the model's means that their cells are
+    divided by; where one is zero the cells are zero.
+    """
+    matrix = tile_matrix(model)
 
     def values(r) -> tuple[np.ndarray, np.ndarray]:
-        pos1, pos2 = np.asarray(r.pos1), np.asarray(r.pos2)
-        left, right = np.asarray(r.vec1).reshape(-1, n), np.asarray(r.vec2).reshape(-1, n)
-        distance = (int(r.first2) + pos2)[None, :] - (int(r.first1) + pos1)[:, None]
-        upper = distance > 0
-        if r.chrom1 == r.chrom2:
-            b = (left @ cis @ right.T) * np.exp(alpha * (np.log(np.maximum(distance, 1)) + ln_res))
-        else:
-            b = (left @ trans @ right.T) * np.exp(beta)
+        rows, columns, b = matrix(r)
         a = np.zeros_like(b)
         if r.i is not None and len(r.i):
-            rows, columns = np.full(pos1.max() + 1, -1), np.full(pos2.max() + 1, -1)
-            rows[pos1], columns[pos2] = np.arange(len(pos1)), np.arange(len(pos2))
-            a[rows[np.asarray(r.i)], columns[np.asarray(r.j)]] = r.a
+            a[np.searchsorted(rows - int(r.first1), np.asarray(r.i)), np.searchsorted(columns - int(r.first2), np.asarray(r.j))] = r.a
+        if means is not None:
+            distance = np.maximum(columns[None, :] - rows[:, None], 0)
+            for x, mean in zip((a, b), means.value):
+                by = mean[distance]
+                np.divide(x, by, out=x, where=by != 0)
+                x[by == 0] = 0.0
+        if rows[-1] < columns[0]:
+            return b.ravel(), a.ravel()
+        upper = columns[None, :] > rows[:, None]
         return b[upper], a[upper]
 
     return values
@@ -72,9 +76,21 @@ def _bits(b: np.ndarray) -> np.ndarray:
     return (b + 0.0).view(np.uint64)
 
 
-def _ranges(tiled: DataFrame, model: Model, size: int) -> np.ndarray:
+def _tally(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs; a count by place while the keys lie close."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = key.min()
+    if int(key.max() - low) < 4 * len(key):
+        held = np.bincount((key - low).astype(np.int64))
+        some = np.flatnonzero(held)
+        return some + int(low), held[some]
+    found, n = np.unique(key, return_counts=True)
+    return found.astype(np.int64), n
+
+
+def _ranges(tiled: DataFrame, values, size: int) -> np.ndarray:
     """Lower ends of the ranges, as integers that order like the values."""
-    values = tile_values(model)
 
     def counted(bits: int, crowded: np.ndarray) -> dict[int, int]:
         """Values by their first ``bits`` bits; from the second pass on only of ``crowded`` classes before."""
@@ -84,8 +100,10 @@ def _ranges(tiled: DataFrame, model: Model, size: int) -> np.ndarray:
                 for r in frame.itertuples():
                     key = _bits(values(r)[0])
                     if len(crowded):
-                        key = key[np.isin(key >> np.uint64(LAST - bits + MORE), crowded)]
-                    for k, m in zip(*(x.tolist() for x in np.unique(key >> np.uint64(LAST - bits), return_counts=True))):
+                        before = key >> np.uint64(LAST - bits + MORE)
+                        at = np.minimum(np.searchsorted(crowded, before), len(crowded) - 1)
+                        key = key[crowded[at] == before]
+                    for k, m in zip(*(x.tolist() for x in _tally(key >> np.uint64(LAST - bits)))):
                         total[k] = total.get(k, 0) + m
             yield pd.DataFrame({"k": np.array(list(total), np.int64), "n": np.array(list(total.values()), np.int64)})
 
@@ -99,7 +117,8 @@ def _ranges(tiled: DataFrame, model: Model, size: int) -> np.ndarray:
         shift = LAST - bits
         if shift < MORE or not heavy:
             heavy = []
-        classes += [(k << shift, m) for k, m in found.items() if k not in set(heavy)]
+        dense = set(heavy)
+        classes += [(k << shift, m) for k, m in found.items() if k not in dense]
         if not heavy:
             break
         crowded, bits = np.array(sorted(heavy), np.uint64), bits + MORE
@@ -112,39 +131,65 @@ def _ranges(tiled: DataFrame, model: Model, size: int) -> np.ndarray:
     return np.array(ends, np.uint64)
 
 
-def _range_sums(tiled: DataFrame, model: Model, ends: np.ndarray) -> DataFrame:
-    """Sums of ranks within each range: ``(range, a, n, s, q)``, number, sum and sum of squares by data value."""
-    values = tile_values(model)
+def _planes(b: np.ndarray) -> bytes:
+    """Doubles as bytes, first those of one place of all numbers: in sorted numbers the leading ones hardly differ, which packs well."""
+    return b.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(float).ravel()
+
+
+def _range_sums(tiled: DataFrame, values, ends: np.ndarray) -> DataFrame:
+    """Sums of ranks within each range: ``(range, a, n, s, q)``, number, sum and sum of squares by data value.
+
+    A range gets every model value, how often a tile holds it where that is more than once, and the stored cells apart.
+    """
+
+    def cuts(b: np.ndarray) -> np.ndarray:
+        return np.searchsorted(_bits(b), ends[1:], side="left")
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
                 b, a = values(r)
-                order = np.lexsort((a, b))
-                b, a = b[order], a[order]
-                new = np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])] if len(b) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
+                stored = np.flatnonzero(a != 0)
+                order = stored[np.argsort(b[stored], kind="stable")]
+                held, data = b[order] + 0.0, a[order]
+                b = np.sort(b + 0.0)
+                first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
                 many = np.diff(np.r_[first, len(b)])
-                to = np.searchsorted(ends, _bits(b[first]), side="right") - 1
-                cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, int)
-                stops = np.r_[cuts[1:], len(to)] if len(cuts) else cuts
-                pieces = [(int(to[x]), *(p[x:y].tobytes() for p in (b[first], a[first], many))) for x, y in zip(cuts, stops)]
-                yield pd.DataFrame(pieces, columns=["range", "b", "a", "m"])
+                b = b[first]
+                at, of = np.r_[0, cuts(b), len(b)], np.r_[0, cuts(held), len(held)]
+                yield pd.DataFrame([(int(k), _planes(b[at[k]:at[k + 1]]),
+                                     many[at[k]:at[k + 1]].tobytes() if (many[at[k]:at[k + 1]] > 1).any() else b"",
+                                     _planes(held[of[k]:of[k + 1]]), data[of[k]:of[k + 1]].tobytes())
+                                    for k in np.flatnonzero(at[1:] > at[:-1])], columns=["range", "b", "m", "held", "data"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        b, a, m = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("b", float), ("a", float), ("m", np.int64)))
-        order = np.argsort(b, kind="stable")
-        b, a, m = b[order], a[order], m[order]
+        parts = [_from_planes(x) for x in frame["b"]]
+        b = np.concatenate(parts)
+        if any(frame["m"].map(len)):
+            m = np.concatenate([np.frombuffer(x, np.int64) if x else np.ones(len(p), np.int64) for x, p in zip(frame["m"], parts)])
+            order = np.argsort(b, kind="stable")
+            b, m = b[order], m[order]
+        else:
+            b.sort()
+            m = np.ones(len(b), np.int64)
+        del parts
         first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        held = np.add.reduceat(m, first)
-        rank = np.cumsum(held) - held + (held + 1) / 2.0
-        rank = np.repeat(rank, np.diff(np.r_[first, len(b)]))
-        kinds, at = np.unique(a, return_inverse=True)
-        sums = [np.bincount(at, w) for w in (m, m * rank, m * rank * rank)]
-        return pd.DataFrame({"range": np.full(len(kinds), frame["range"].iloc[0], np.int32), "a": kinds,
-                             "n": sums[0], "s": sums[1], "q": sums[2]})
-
-    return (tiled.mapInPandas(deal, "range int, b binary, a binary, m binary").groupBy("range")
+        b, n = b[first], np.add.reduceat(m, first)
+        rank = np.cumsum(n) - n + (n + 1) / 2.0
+        whole = n.sum(), (n * rank).sum(), (n * rank * rank).sum()
+        stored = rank[np.searchsorted(b, np.concatenate([_from_planes(x) for x in frame["held"]]))]
+        kinds, at = np.unique(np.frombuffer(b"".join(frame["data"]), float), return_inverse=True)
+        sums = [np.bincount(at, w, len(kinds)) for w in (np.ones(len(at)), stored, stored * stored)]
+        rest = [[w - x.sum()] if w - x.sum() > 0 else [0.0] for w, x in zip(whole, sums)]
+        keep = slice(None) if whole[0] > len(at) else slice(1, None)  # the zero cells first, if there are any
+        return pd.DataFrame({"range": np.full(len(kinds) + 1, frame["range"].iloc[0], np.int32), "a": np.r_[0.0, kinds],
+                             "n": np.r_[rest[0], sums[0]], "s": np.r_[rest[1], sums[1]], "q": np.r_[rest[2], sums[2]]})[keep]
+
+    return (tiled.mapInPandas(deal, "range int, b binary, m binary, held binary, data binary").groupBy("range")
             .applyInPandas(merge, "range int, a double, n double, s double, q double"))
 
 
@@ -158,14 +203,16 @@ def _centred_ranks(values: DataFrame, whole: Column, per_range: int) -> DataFram
     return ranked.withColumn("ra", F.col("__below") + (F.col("n") + 1) / 2.0 - (whole + 1) / 2.0).drop("__below", "__range")
 
 
-def spearman(model: Model, pixels: DataFrame, value: str = "count", size: int = TILE, per_range: int = RANGE) -> DataFrame:
+def spearman(model: Model, pixels: DataFrame, value: str = "count", size: int = TILE, per_range: int = RANGE,
+             means: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Spearman correlation of the data with the model over all usable pairs, one row ``spearman``.
 
     Stored values must be positive or negative numbers; NULL ones count as zero.  NULL where either side
-    does not vary.
+    does not vary.  With ``means`` by distance, of data and model, either side is divided by its own.
     """
     tiled = cut(with_data(model, pixels, value, size))
-    sums = cut(_range_sums(tiled, model, _ranges(tiled, model, per_range)))
+    values = tile_values(model, None if means is None else model.states.sparkSession.sparkContext.broadcast(means))
+    sums = cut(_range_sums(tiled, values, _ranges(tiled, values, per_range)))
     totals = sums.groupBy("range").agg(F.sum("n").alias("__n"))  # one row a range
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = totals.agg(F.sum("__n")).scalar()

@@ -155,3 +155,22 @@ def test_keyed_reads_of_a_model_without_pairs(spark, size, reads, monkeypatch):
     assert {(r[0], r[1]): r[2] for r in sampling.multinomial_keyed(matrix, 3000, seed=9).collect()} == want
     none = Model(model.states.limit(0), LONG, CIS[3], TRANS[3], ALPHA, BETA)
     assert sampling.multinomial_keyed(generate.ModelMatrix(none), 10).collect() == []
+
+
+def test_ranges_get_each_value_once_and_stored_cells_apart(spark):
+    """What is dealt for a model value without data is eight bytes, whatever the number of cells; ties go with their number."""
+    model, pixels, b, cells = setting(spark, 3, seed=7)
+    tiled = ranks.with_data(model, pixels, "count", 16)
+    values = ranks.tile_values(model)
+    ends = ranks._ranges(tiled, values, 50)
+    sums = ranks._range_sums(tiled, values, ends)
+    dealt = [r for r in sums.collect()]
+    order = np.sort(list(b.values()))
+    low = np.searchsorted(order, ends.view(float))
+    assert sum(r.n for r in dealt) == len(b) and len(ends) > 3
+    assert {r.range: r.n for r in dealt if r.a == 0}.keys() <= set(range(len(ends)))
+    for a in {0.0, *cells.values()}:
+        got = sum(r.s + low[r.range] * r.n for r in dealt if r.a == a)
+        assert got == sum(np.searchsorted(order, v) + 1 for k, v in b.items() if cells.get(k, 0.0) == a)
+    some = np.sort(np.random.default_rng(0).random(100))
+    assert (ranks._from_planes(ranks._planes(some)) == some).all() and len(ranks._planes(some)) == 800
