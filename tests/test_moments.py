@@ -174,3 +174,20 @@ def test_ranges_get_each_value_once_and_stored_cells_apart(spark):
         assert got == sum(np.searchsorted(order, v) + 1 for k, v in b.items() if cells.get(k, 0.0) == a)
     some = np.sort(np.random.default_rng(0).random(100))
     assert (ranks._from_planes(ranks._planes(some)) == some).all() and len(ranks._planes(some)) == 800
+
+
+def test_metrics_of_a_model_without_pairs(spark, monkeypatch):
+    """The same as over listed cells; one of the diagonals has no data."""
+    model, pixels, b, cells = setting(spark, 3, seed=8)
+    chosen = {k: v for k, v in cells.items() if k[1] - k[0] != 2}
+    pixels = pixels.where("bin2_id - bin1_id <> 2")
+    listed = spark.createDataFrame([(i, j, chosen.get((i, j), 0.0), float(v)) for (i, j), v in b.items()],
+                                   "bin1_id int, bin2_id int, a double, b double")
+    want = {r.metric: r.value for r in accuracy.long_table(accuracy.compare_matrices(listed)).collect()}
+
+    def pairs_listed(*args, **kwargs):
+        raise AssertionError("pairs were listed")
+
+    monkeypatch.setattr(generate, "bin_pairs", pairs_listed)
+    got = {r.metric: r.value for r in accuracy.long_table(accuracy.compare_with_model(model, pixels)).collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want, rel=1e-8)
