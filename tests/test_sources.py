@@ -151,6 +151,53 @@ def test_row_correlation(spark):
     assert all(r["correlation"] == pytest.approx(want[r["bin1_id"], r["bin2_id"]]) for r in got)
 
 
+def test_row_correlation_exchanges_cells_only(spark):
+    rng = np.random.default_rng(4)
+    m = np.triu((rng.random((60, 60)) < .1) * rng.normal(3, 1, (60, 60)), 1)
+    i, j = np.nonzero(m)
+    df = frame(spark, [(int(a), int(b), float(m[a, b])) for a, b in zip(i, j)], "bin1_id int, bin2_id int, value double")
+    out = pca.row_correlation(df, spark.range(60).select(F.col("id").cast("int").alias("bin_id")), 60)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    full = m + m.T
+    held = np.flatnonzero(full.any(axis=1))
+    got = {(r["bin1_id"], r["bin2_id"]): r["correlation"] for r in out.collect()}
+    want = np.corrcoef(full)
+    assert set(got) == {(a, b) for a in held for b in held if a <= b}
+    assert all(v == pytest.approx(want[k], abs=1e-12) for k, v in got.items())
+
+
+def test_compartments_make_no_square_matrix(spark, monkeypatch):
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    def refuse(*_):
+        raise AssertionError("square matrix or long vectors")
+    monkeypatch.setattr(RowMatrix, "computeGramianMatrix", refuse)
+    monkeypatch.setattr(RowMatrix, "computeSVD", refuse)
+    rng = np.random.default_rng(5)
+    m = np.triu(rng.integers(0, 4, (40, 40)).astype(float), 1)
+    df = frame(spark, [(i, j, float(m[i, j])) for i in range(40) for j in range(i + 1, 40) if m[i, j]], "bin1_id int, bin2_id int, value double")
+    usable = spark.range(40).select(F.col("id").cast("int").alias("bin_id"))
+    correlation, scores = pca.compartments(df, usable, 40)
+    c = np.zeros((40, 40))
+    for r in correlation.collect():
+        c[r["bin1_id"], r["bin2_id"]] = c[r["bin2_id"], r["bin1_id"]] = r["correlation"]
+    u, s, _ = np.linalg.svd(c - c.mean(axis=0))
+    got = np.array([r["score"] for r in scores.orderBy("bin_id").collect()])
+    np.testing.assert_allclose(np.abs(got), np.abs(u[:, 0] * s[0]), atol=1e-6)
+
+
+@pytest.mark.parametrize("most", [24, 512])
+def test_leading_vector(most):
+    rng = np.random.default_rng(6)
+    q, _ = np.linalg.qr(rng.normal(size=(300, 300)))
+    values = np.sort(rng.random(300))
+    values[-1] += .05
+    a = (q * values) @ q.T
+    got = pca.leading_vector(lambda v: a @ v, 300, most)
+    assert abs(got @ q[:, -1]) == pytest.approx(1, abs=1e-12)
+    assert abs(pca.leading_vector(lambda v: 0 * v, 5, most) @ np.ones(5)) <= 3
+
+
 def test_component_accuracy_of_the_data_with_itself(spark):
     rng = np.random.default_rng(3)
     cells = frame(spark, [(i, j, float(rng.integers(1, 20))) for i in range(12) for j in range(i, 12)], "bin1_id int, bin2_id int, value double")
