@@ -326,6 +326,22 @@ def test_scores_brute_force(spark, head):
         assert r.score == pytest.approx(brute_code_length(known, low, 3), rel=1e-4)
 
 
+@pytest.mark.parametrize("nodes", [1, 9, 40])
+def test_scores_beyond_the_kept_contexts(spark, nodes):
+    rng = random.Random(nodes)
+    texts = ["".join(rng.choice("aab bcd\u00e9") for _ in range(rng.randrange(60))) for _ in range(40)]
+    texts += [None, "", "\x00\x00\x00a", "zzzz abc", "abc zz", texts[0]]
+    held = {3, 9, 40, 41, 43, 44, 45}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    known = [(t or "").encode() for i, t in enumerate(texts) if i not in held]
+    model, rest = ppm.train(docs.where(~F.col("doc_id").isin(*held)), order=3, nodes=nodes)
+    assert len(set(zip(*model.entries[:2]))) <= nodes and rest.contexts.count() > 100
+    got = {r.doc_id: r.score for r in ppm.score(docs, model, rest).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_code_length(known, (t or "").encode(), 3), rel=1e-5)
+
+
 def test_scores_without_training(spark):
     docs = spark.createDataFrame([(1, "ab"), (1, "ab")], "doc_id long, text string")
     got = ppm.score(docs, *ppm.train(docs.limit(0))).collect()
