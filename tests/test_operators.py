@@ -427,6 +427,41 @@ def test_simulated_mixture(spark):
             sampling.simulate_mixture(cells, table, probs)
 
 
+def test_mixture_draws_reads_not_columns():
+    class Counted:
+        """A generator that counts the numbers asked for; a multinomial draw asks one for each column."""
+        def __init__(self):
+            self.rng, self.asked = np.random.default_rng(5), 0
+
+        def random(self, n):
+            self.asked += n
+            return self.rng.random(n)
+
+        def multinomial(self, n, p):
+            self.asked += len(p)
+            return self.rng.multinomial(n, p)
+
+    shares = np.r_[0.0, np.full(997, 0.5 / 997), 0.0, 0.5]
+    edges, total, cells = np.cumsum(shares[:-1]), np.zeros(1000), 4000
+    rng = Counted()
+    for _ in range(cells):
+        cols, counts = sampling.drawn_columns(rng, 3, shares, edges)
+        assert counts.sum() == 3 and (np.diff(cols) > 0).all()
+        total[cols] += counts
+    assert rng.asked == 3 * cells
+    assert total[0] == total[998] == 0
+    assert total[999] / (3 * cells) == pytest.approx(0.5, abs=0.03)
+    assert total[1:998].std() == pytest.approx(np.sqrt(1.5 * cells / 997), rel=0.2)
+    cols, counts = sampling.drawn_columns(rng, 5000, shares, edges)
+    assert counts.sum() == 5000 and rng.asked == 3 * cells + 1000 and counts.min() > 0
+
+
+def test_mixture_is_dealt_over_tasks(spark):
+    cells = frame(spark, [(k, 5) for k in range(400)], "cell_id long, reads int").coalesce(1)
+    out = sampling.simulate_mixture(cells, np.full((2, 100), 0.01), 0.5)
+    assert out.select("cell_id", F.spark_partition_id().alias("part")).distinct().select("part").distinct().count() > 1
+
+
 def test_correlations_and_likelihood(spark):
     rng = np.random.default_rng(0)
     a, b = np.r_[np.zeros(40), rng.integers(1, 5, 60)].astype(float), rng.random(100)
